@@ -105,12 +105,11 @@ def fit_predict_gbt(
         featuresCol="_features",
         labelCol=y,
         predictionCol="_prediction",
-        rawPredictionCol="_raw",
         maxIter=rounds,
         maxDepth=depth,
         seed=seed,
-        probabilityCol="_probability",
     )
+    classifier.setRawPredictionCol("_raw").setProbabilityCol("_probability")
     return _fit_predict(classifier, train, test, cats, nums, y)
 
 
