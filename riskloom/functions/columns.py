@@ -8,17 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# A sum of units is split at this power of two, so neither part outgrows a bigint.
+_SPLIT = 20
 
-def exact(value: Column, scale: int | None) -> Column:
-    """``value`` as a decimal with ``scale`` digits, so sums of it do not depend on
-    row order; a double when ``scale`` is None."""
-    return value.cast("double") if scale is None else value.cast(T.DecimalType(18, scale))
+
+def units(value: Column, scale: int | None) -> Column:
+    """A double with ``scale`` decimals as a whole number of its last decimal, so that sums
+    do not depend on row order; the double itself when ``scale`` is None. Sums of bigints
+    cost what sums of doubles do, a sixth of sums of decimals."""
+    if scale is None:
+        return value.cast("double")
+    return F.rint(value * F.lit(float(10**scale))).cast("bigint")
+
+
+def from_units(total: Column, scale: int | None) -> Column:
+    return total.cast("double") / F.lit(float(10 ** (scale or 0)))
+
+
+def exact_sum(value: Column, scale: int | None) -> Column:
+    """Aggregate: the sum as a double, exact up to its final rounding if ``scale`` is given."""
+    if scale is None:
+        return F.sum(value.cast("double"))
+    whole = units(value, scale)
+    high = F.sum(F.shiftright(whole, _SPLIT)).cast("decimal(38,0)")
+    low = F.sum(whole.bitwiseAND(F.lit((1 << _SPLIT) - 1)))
+    return from_units(high * F.lit(1 << _SPLIT) + low, scale)
 
 
 def mean_of(value: Column, scale: int | None) -> Column:
     """Aggregate: mean of the non-null values, null when there are none."""
-    total = F.sum(exact(value, scale)).cast("double")
-    return total / F.nullif(F.count(value), F.lit(0))
+    return exact_sum(value, scale) / F.nullif(F.count(value), F.lit(0))
 
 
 def moment(df: DataFrame, column: str, text: str) -> Column:
@@ -45,11 +64,19 @@ def order_key(df: DataFrame, column: str) -> Column:
     raise TypeError(f"{column} has type {kind.simpleString()}: need a number or a time")
 
 
+def passed(cuts: Sequence[Column]) -> Column:
+    """How many of the ``cuts`` hold, where each implies those before it. One flat case
+    expression, so any number of cuts compiles."""
+    place = F.lit(0)
+    for i, cut in reversed(list(enumerate(cuts, 1))):
+        place = F.when(cut, i) if i == len(cuts) else place.when(cut, i)
+    return place.otherwise(0) if cuts else place
+
+
 def edge_bin(value: Column, edges: Sequence[float]) -> Column:
-    """How many of the ``edges`` lie below ``value``: bin 0 is up to and including the
-    first edge. Null stays null."""
-    above = [F.when(value > F.lit(e), 1).otherwise(0) for e in edges]
-    return F.when(value.isNotNull(), sum(above, F.lit(0)))
+    """How many of the rising ``edges`` lie below ``value``: bin 0 is up to and including
+    the first edge. Null stays null."""
+    return F.when(value.isNotNull(), passed([value > F.lit(e) for e in edges]))
 
 
 def id_hash(id: Column) -> Column:

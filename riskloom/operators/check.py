@@ -14,7 +14,7 @@ from riskloom.operators.joining import lookup_join
 def profile_columns(df: DataFrame, columns: Sequence[str], scale: int | None = None) -> DataFrame:
     """One row per numeric column: rows, nulls, distinct values, min, max, mean.
 
-    ``scale`` decimals are summed exactly for the mean; None sums doubles. One scan; the
+    With ``scale``, values of that many decimals are summed exactly for the mean. One scan; the
     distinct values of each column are combined within tasks before they are shuffled.
     """
     tall = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot(

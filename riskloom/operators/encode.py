@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import negative, positive
+from riskloom.functions.columns import negative, passed, positive
 from riskloom.operators.joining import lookup_join
 from riskloom.operators.ordering import positions
 from riskloom.sources.shared import freeze
@@ -52,10 +52,8 @@ def quantile_bin(df: DataFrame, column: str, k: int, id: str, rising: bool = Tru
     size, rest = divmod(n, k)
     ends = {i * size + min(i, rest) for i in range(1, k)} - {0, n}
     cuts = placed.filter(F.col("_position").isin(sorted(ends))).collect() if ends else []
-    passed = [
-        F.when(after_cut(column, id, row[column], row[id], rising), 1).otherwise(0) for row in cuts
-    ]
-    bin = F.lit(1) + sum(passed, F.lit(0))
+    cuts.sort(key=lambda row: row["_position"])
+    bin = 1 + passed([after_cut(column, id, row[column], row[id], rising) for row in cuts])
     return df.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), bin))
 
 
@@ -68,20 +66,24 @@ def target_encode_oof(df: DataFrame, column: str, y: str, fold: str, weight: flo
     """
     cells = freeze(
         df.groupBy(column, fold).agg(
-            F.count(y).alias("n"), F.sum(F.col(y).cast("bigint")).alias("s")
+            F.count(y).alias("_n"), F.sum(F.col(y).cast("bigint")).alias("_s")
         )
-    ).fillna(0, ["s"])
-    total = cells.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    by_category = cells.groupBy(column).agg(
-        F.sum("n").alias("category_n"), F.sum("s").alias("category_s")
+    ).fillna(0, ["_s"])
+    total = cells.agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s")).first()
+    # A category has a cell per fold: few enough for a window.
+    category = Window.partitionBy(column)
+    by_category = cells.select(
+        "*",
+        F.sum("_n").over(category).alias("_category_n"),
+        F.sum("_s").over(category).alias("_category_s"),
     )
-    by_fold = cells.groupBy(fold).agg(F.sum("n").alias("fold_n"), F.sum("s").alias("fold_s"))
-    joined = lookup_join(lookup_join(cells, by_category, [column]), by_fold, [fold])
-    outside_mean = (F.lit(total["s"]) - F.col("fold_s")) / F.nullif(
-        F.lit(total["n"]) - F.col("fold_n"), F.lit(0)
+    by_fold = cells.groupBy(fold).agg(F.sum("_n").alias("_fold_n"), F.sum("_s").alias("_fold_s"))
+    joined = lookup_join(by_category, by_fold, [fold])
+    outside_mean = (F.lit(total["_s"] or 0) - F.col("_fold_s")) / F.nullif(
+        F.lit(total["_n"] or 0) - F.col("_fold_n"), F.lit(0)
     )
-    outside_n = F.col("category_n") - F.col("n")
-    outside_s = F.col("category_s") - F.col("s")
+    outside_n = F.col("_category_n") - F.col("_n")
+    outside_s = F.col("_category_s") - F.col("_s")
     encoded = (outside_s + F.lit(float(weight)) * outside_mean) / F.nullif(
         outside_n + F.lit(float(weight)), F.lit(0.0)
     )

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import negative, positive
+from riskloom.functions.columns import negative, passed, positive
 from riskloom.operators.encode import quantile_bin
 from riskloom.operators.ordering import value_counts_in_order
 
 
 def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     labelled = df.select(y, score).dropna().filter(F.col(y).isin(0, 1))
-    counts = {"pos": positive(F.col(y)), "neg": negative(F.col(y))}
+    counts = {"_pos": positive(F.col(y)), "_neg": negative(F.col(y))}
     return value_counts_in_order(labelled, score, [], counts)
 
 
@@ -28,12 +28,12 @@ def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     Twice the rank sum is kept in decimals: products of counts outgrow a bigint.
     """
     points = _by_score(df, y, score)
-    below = _wide("pos_before") + _wide("neg_before")
-    rank_twice = 2 * below + _wide("pos") + _wide("neg") + 1
+    below = _wide("_pos_before") + _wide("_neg_before")
+    rank_twice = 2 * below + _wide("_pos") + _wide("_neg") + 1
     sums = points.agg(
-        F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"),
-        F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"),
-        F.sum((_wide("pos") * rank_twice).cast("decimal(38,0)")).alias("ranks"),
+        F.coalesce(F.sum("_pos"), F.lit(0)).alias("n_pos"),
+        F.coalesce(F.sum("_neg"), F.lit(0)).alias("n_neg"),
+        F.sum((_wide("_pos") * rank_twice).cast("decimal(38,0)")).alias("ranks"),
     )
     won_twice = F.col("ranks") - _wide("n_pos") * (_wide("n_pos") + 1)
     all_twice = 2 * (F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))
@@ -51,7 +51,7 @@ def ks(df: DataFrame, y: str, score: str) -> DataFrame:
         total = F.nullif(F.col(f"{label}_total"), F.lit(0))
         return (F.col(f"{label}_before") + F.col(label)) / total
 
-    return _by_score(df, y, score).agg(F.max(F.abs(reached("pos") - reached("neg"))).alias("ks"))
+    return _by_score(df, y, score).agg(F.max(F.abs(reached("_pos") - reached("_neg"))).alias("ks"))
 
 
 def gain_table(df: DataFrame, y: str, score: str, id: str, k: int = 10) -> DataFrame:
@@ -78,7 +78,7 @@ def threshold_table(df: DataFrame, y: str, score: str, cuts: Sequence[float]) ->
     """
     rising = sorted(set(cuts))
     labelled = df.select(y, score).dropna().filter(F.col(y).isin(0, 1))
-    reached = sum((F.when(F.col(score) >= F.lit(c), 1).otherwise(0) for c in rising), F.lit(0))
+    reached = passed([F.col(score) >= F.lit(c) for c in rising])
     counts = labelled.groupBy(reached.alias("_reached")).agg(
         positive(F.col(y)).alias("_pos"), negative(F.col(y)).alias("_neg")
     )

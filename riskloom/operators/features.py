@@ -12,7 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import day_number, exact, mean_of, moment
+from riskloom.functions.columns import (
+    day_number,
+    exact_sum,
+    from_units,
+    mean_of,
+    moment,
+    units,
+)
 from riskloom.operators.joining import hot_keys, key_hash, lookup_join
 from riskloom.operators.ordering import (
     bucket_edges,
@@ -40,7 +47,7 @@ def entity_features(
     known = facts.filter(F.col(time) < moment(facts, time, cutoff))
     per_key = known.groupBy(F.col(fact_key).alias("_key")).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(exact(F.col(value), scale)).cast("double").alias("_sum"),
+        exact_sum(F.col(value), scale).alias("_sum"),
         mean_of(F.col(value), scale).alias("fact_mean"),
         F.max(value).alias("fact_max"),
     )
@@ -75,7 +82,7 @@ def trailing_features(
             count, total = F.sum(n).over(near), F.sum(amount).over(near)
         else:
             # Difference of two growing frames: each row is added once, where a sliding
-            # frame is summed anew for every row. Exact, as counts and decimals are.
+            # frame is summed anew for every row. Exact, as these are whole numbers.
             before = order.rangeBetween(Window.unboundedPreceding, -1)
             past = order.rangeBetween(Window.unboundedPreceding, -days - 1)
             zero = F.lit(0)
@@ -87,13 +94,13 @@ def trailing_features(
         return rows.withColumns(
             {
                 "trailing_count": F.when(dated, F.coalesce(count, F.lit(0))),
-                "trailing_sum": F.when(dated, F.coalesce(total.cast("double"), F.lit(0.0))),
+                "trailing_sum": F.when(dated, F.coalesce(from_units(total, scale), F.lit(0.0))),
             }
         )
 
     dated = facts.withColumn(_DAY, day_number(F.col(time)))
     ordinary, hot = _split_hot(dated, entity)
-    amount = exact(F.col(value), scale)
+    amount = units(F.col(value), scale)
     result = add(ordinary, F.lit(1).cast("bigint"), amount)
     if hot is not None:
         daily = hot.groupBy(entity, _DAY).agg(
@@ -177,16 +184,16 @@ def group_rank(df: DataFrame, group: str, column: str, scale: int | None = None)
     Ranks are found on distinct (group, value) pairs, so neither a big group nor a common
     value meets in one task.
     """
-    amount = F.sum(exact(F.col(column), scale))
+    amount = F.sum(units(F.col(column), scale))
     ranked = value_counts_in_order(
-        df, column, [group], {"n": F.count(F.lit(1)), "amount": amount}
+        df, column, [group], {"_n": F.count(F.lit(1)), "_amount": amount}
     )
-    mean = F.col("amount_total").cast("double") / F.col("n_total")
-    others = F.col("n_total") - 1
+    mean = from_units(F.col("_amount_total"), scale) / F.col("_n_total")
+    others = F.col("_n_total") - 1
     lookup = ranked.select(
         group,
         column,
-        F.when(others > 0, F.col("n_before") / others).otherwise(F.lit(0.0)).alias(
+        F.when(others > 0, F.col("_n_before") / others).otherwise(F.lit(0.0)).alias(
             "group_percent_rank"
         ),
         (F.col(column).cast("double") / F.nullif(mean, F.lit(0.0))).alias("group_ratio"),

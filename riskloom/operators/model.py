@@ -135,13 +135,14 @@ def oof_predict(df: DataFrame, fold: str, fit: FitPredict) -> DataFrame:
 
 def rank_blend(df: DataFrame, scores: Sequence[str], weights: Sequence[float]) -> DataFrame:
     """Adds ``blend``, the weighted sum of the scores' percent ranks. Blending ranks needs no
-    common scale. Null where a score is null."""
-    ranked = df
+    common scale. Null where a score is null. Scores tend to be costly to compute, and every
+    one is read more than once, so ``df`` is frozen first."""
+    ranked = ready = freeze(df)
     blend = F.lit(0.0)
     for i, (score, weight) in enumerate(zip(scores, weights, strict=True)):
-        placed = value_counts_in_order(df, score, [], {"n": F.count(F.lit(1))})
-        others = F.col("n_total") - 1
-        rank = F.when(others > 0, F.col("n_before") / others).otherwise(F.lit(0.0))
+        placed = value_counts_in_order(ready, score, [], {"_n": F.count(F.lit(1))})
+        others = F.col("_n_total") - 1
+        rank = F.when(others > 0, F.col("_n_before") / others).otherwise(F.lit(0.0))
         lookup = placed.select(score, rank.alias(f"_rank{i}"))
         ranked = lookup_join(ranked, lookup, [score])
         blend = blend + F.lit(float(weight)) * F.col(f"_rank{i}")

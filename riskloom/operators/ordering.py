@@ -33,12 +33,18 @@ HASH_DIGITS = 4
 def bucket_edges(df: DataFrame, column: str) -> list[float]:
     """Rising literal edges that cut the rows of ``df`` into about equal parts."""
     count = buckets(df.sparkSession)
-    keys = df.select(order_key(df, column).alias(_KEY))
     probs = [i / count for i in range(1, count)]
-    found = keys.approxQuantile(_KEY, probs, 1 / (4 * count))
+    found = _approximate(df.select(order_key(df, column).alias(_KEY)), _KEY, probs, 4 * count)
     return sorted({e for e in found if math.isfinite(e)}) or [0.0]
 
 
+def _approximate(
+    df: DataFrame, column: str, probs: Sequence[float], accuracy: int
+) -> list[float]:
+    """Approximate quantiles, each off by at most a 1 / ``accuracy`` of the rows."""
+    return df.agg(F.percentile_approx(column, list(probs), accuracy)).first()[0] or []
+
+
 def with_value_bucket(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
     """Adds the bucket of ``column``; NaN, which Spark orders last, gets the last one."""
     cut = Bucketizer(
@@ -136,37 +142,57 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[
         return [None] * len(probs)
     places = [p * (n - 1) for p in probs]
     ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
-    shifted = {r: r for r in ranks}
-    if n > direct_quantile_rows(df.sparkSession):
-        values, shifted = _narrow(values, n, ranks)
+    shifted, left = {r: r for r in ranks}, n
+    direct = direct_quantile_rows(df.sparkSession)
+    if n > direct:
+        values, shifted, left = _narrow(values, n, ranks)
+    if left <= direct:
+        found = _pick_few(values, list(shifted.values()))
+    else:
+        found = _pick(values, list(shifted.values()))
+    at = {r: found[s] for r, s in shifted.items()}
+    result = []
+    for p in places:
+        low, high, share = at[math.floor(p)], at[math.ceil(p)], p - math.floor(p)
+        result.append(low if share == 0 else low * (1 - share) + high * share)
+    return result
+
+
+def _pick_few(values: DataFrame, places: Sequence[int]) -> dict[int, float]:
+    """The values at these places of the order, for as many rows as one array may hold."""
+    rising = values.agg(F.sort_array(F.collect_list("v")).alias("all"))
+    row = rising.select(*(F.get("all", F.lit(s)) for s in places)).first()
+    return dict(zip(places, row))
+
+
+def _pick(values: DataFrame, places: Sequence[int]) -> dict[int, float]:
+    """The values at these places of the order, for any number of rows."""
     placed = value_counts_in_order(values, "v", [], {"n": F.count(F.lit(1))})
     first, end = F.col("n_before"), F.col("n_before") + F.col("n")
     wanted = F.lit(False)
-    for s in shifted.values():
+    for s in places:
         wanted = wanted | ((first <= s) & (F.lit(s) < end))
     rows = placed.filter(wanted).collect()
-    at = {
-        r: row["v"]
-        for r, s in shifted.items()
+    return {
+        s: row["v"]
+        for s in places
         for row in rows
         if row["n_before"] <= s < row["n_before"] + row["n"]
     }
-    result = []
-    for p in places:
-        low, high, share = at[math.floor(p)], at[math.ceil(p)], p - math.floor(p)
-        result.append(low if share == 0 else low * (1 - share) + high * share)
-    return result
 
 
-def _narrow(values: DataFrame, n: int, ranks: Sequence[int]) -> tuple[DataFrame, dict[int, int]]:
-    """The values near the wanted ranks, and each rank's place among them.
+def _narrow(
+    values: DataFrame, n: int, ranks: Sequence[int]
+) -> tuple[DataFrame, dict[int, int], int]:
+    """The values near the wanted ranks, each rank's place among them, and how many they are.
 
     Intervals around approximate quantiles are counted exactly. Should one of them miss
     its rank, all values are kept.
     """
-    error = 0.001
-    probs = [q for r in ranks for q in (max(r / n - 2 * error, 0.0), min(r / n + 2 * error, 1.0))]
-    found = values.approxQuantile("v", probs, error)
+    accuracy = 1000
+    near = [(r / n - 2 / accuracy, r / n + 2 / accuracy) for r in ranks]
+    probs = [q for low, high in near for q in (max(low, 0.0), min(high, 1.0))]
+    found = _approximate(values, "v", probs, accuracy)
     intervals: list[list[float]] = []
     for low, high in sorted(zip(found[::2], found[1::2])):
         if intervals and low <= intervals[-1][1]:
@@ -184,8 +210,8 @@ def _narrow(values: DataFrame, n: int, ranks: Sequence[int]) -> tuple[DataFrame,
         shifted |= {r: r - below + kept for r in ranks if below <= r < below + inside}
         kept += inside
     if len(shifted) < len(ranks):
-        return values, {r: r for r in ranks}
-    near = F.lit(False)
+        return values, {r: r for r in ranks}, n
+    inside = F.lit(False)
     for pair in intervals:
-        near = near | v.between(*pair)
-    return values.filter(near), shifted
+        inside = inside | v.between(*pair)
+    return values.filter(inside), shifted, kept

@@ -63,16 +63,16 @@ def chi_square(df: DataFrame, column: str, y: str) -> DataFrame:
     of n, so the empty ones are never made.
     """
     pairs = df.select(column, y).dropna()
-    cells = freeze(pairs.groupBy(column, y).agg(F.count(F.lit(1)).alias("o")))
-    by_column = cells.groupBy(column).agg(F.sum("o").alias("row_n"))
-    by_y = cells.groupBy(y).agg(F.sum("o").alias("col_n"))
+    cells = freeze(pairs.groupBy(column, y).agg(F.count(F.lit(1)).alias("_o")))
+    by_column = cells.groupBy(column).agg(F.sum("_o").alias("_row_n"))
+    by_y = cells.groupBy(y).agg(F.sum("_o").alias("_col_n"))
     joined = lookup_join(lookup_join(cells, by_column, [column]), by_y, [y])
-    n = cells.agg(F.sum("o")).first()[0] or 0
-    expected = F.col("row_n") * F.col("col_n").cast("double") / F.lit(n)
+    n = cells.agg(F.sum("_o")).first()[0] or 0
+    expected = F.col("_row_n") * F.col("_col_n").cast("double") / F.lit(n)
     return joined.agg(
         F.lit(n).cast("bigint").alias("n"),
         (
-            F.sum((F.col("o") - expected) * (F.col("o") - expected) / expected)
+            F.sum((F.col("_o") - expected) * (F.col("_o") - expected) / expected)
             + (F.lit(n) - F.sum(expected))
         ).alias("chi_square"),
         ((F.count_distinct(column) - 1) * (F.count_distinct(y) - 1)).alias("degrees"),

@@ -54,17 +54,17 @@ def downsample(df: DataFrame, y: str, id: str, ratio: float) -> DataFrame:
     kept whole by a plain filter; only the last one, a 65,536th of the rows, is ordered.
     """
     hashed = with_hash_bucket(df.filter(F.col(y).isNotNull()), id)
-    counts = freeze(hashed.groupBy(y, BUCKET).agg(F.count(F.lit(1)).alias("n")))
-    sizes = freeze(counts.groupBy(y).agg(F.sum("n").alias("label_n")))
-    rarest = sizes.orderBy("label_n", y).first()
+    counts = freeze(hashed.groupBy(y, BUCKET).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = freeze(counts.groupBy(y).agg(F.sum("_n").alias("_label_n")))
+    rarest = sizes.orderBy("_label_n", y).first()
     if rarest is None:
         return df.limit(0)
-    quota = int(ratio * rarest["label_n"])
+    quota = int(ratio * rarest["_label_n"])
     so_far = Window.partitionBy(y).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(so_far), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(so_far), F.lit(0))
     last = (
         counts.withColumn("_before", before)
-        .filter((F.col("_before") <= quota) & (F.lit(quota) < F.col("_before") + F.col("n")))
+        .filter((F.col("_before") <= quota) & (F.lit(quota) < F.col("_before") + F.col("_n")))
         .filter(F.col(y) != F.lit(rarest[y]))
         .select(y, F.col(BUCKET).alias("_last"), (F.lit(quota) - F.col("_before")).alias("_room"))
     )

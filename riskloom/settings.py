@@ -7,8 +7,8 @@ setting                                   default    meaning
                                                      executor
 ``spark.riskloom.hotShare``               see below  share of rows from which a key is hot
 ``spark.riskloom.buckets``                see below  buckets of a global order
-``spark.riskloom.directQuantileRows``     50 million rows up to which a quantile is looked
-                                                     for without narrowing first
+``spark.riskloom.directQuantileRows``     100,000    values one task may sort for a quantile;
+                                                     more are narrowed down first
 ========================================  =========  =====================================
 
 ``hotShare`` and ``buckets`` follow ``spark.sql.shuffle.partitions``: a key is hot when
@@ -39,4 +39,4 @@ def buckets(spark: SparkSession) -> int:
 
 
 def direct_quantile_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.riskloom.directQuantileRows", "50000000"))
+    return int(spark.conf.get("spark.riskloom.directQuantileRows", "100000"))

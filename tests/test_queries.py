@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
@@ -9,6 +11,8 @@ import pytest
 import __spark_entry__ as contract
 from tests.conftest import DATA, TABLES
 
+# Other scales by hand: TEST_SCALES=sf0.001,sf0.01,sf0.1
+SCALES = os.environ.get("TEST_SCALES", "sf0.01").split(",")
 QUERIES = contract.queries()
 SQL = contract.oracle_sql()
 
@@ -38,7 +42,7 @@ def check(spark, name, scale):
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("scale", SCALES)
 def test_same_as_sql(spark, name, scale):
     check(spark, name, scale)
 
