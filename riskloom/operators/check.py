@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import mean_of
-from riskloom.operators.joining import lookup_join
+from riskloom.operators.joining import shuffle_join
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str], scale: int | None = None) -> DataFrame:
@@ -56,4 +56,4 @@ def reference_gaps(left: DataFrame, right: DataFrame, on: dict[str, str]) -> Dat
     keys = right.select(
         *(F.col(b).try_cast(left.schema[a].dataType).alias(a) for a, b in on.items())
     )
-    return lookup_join(left, keys.dropna().distinct(), list(on), how="left_anti", null_safe=False)
+    return shuffle_join(left, keys.dropna().distinct(), list(on), "left_anti", null_safe=False)

@@ -32,36 +32,46 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
     return sorted(h for h, n in found.items() if h is not None and n > share * total)
 
 
-def lookup_join(
+def _join(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], how: str, null_safe: bool
+) -> DataFrame:
+    renamed = {k: f"_lookup_{k}" for k in keys}
+    table = table.withColumnsRenamed(renamed)
+    same = F.lit(True)
+    for k, r in renamed.items():
+        same = same & (df[k].eqNullSafe(table[r]) if null_safe else df[k] == table[r])
+    return df.join(table, same, how).drop(*renamed.values())
+
+
+def shuffle_join(
     df: DataFrame,
-    lookup: DataFrame,
+    table: DataFrame,
     keys: Sequence[str],
     how: str = "left",
     null_safe: bool = True,
 ) -> DataFrame:
-    """Join ``df`` to ``lookup``, which has one row per value of ``keys``.
+    """Join ``df`` by shuffle to ``table``, which has one row per value of ``keys``.
 
-    A lookup measured to fit is broadcast, so ``df`` is not shuffled. A larger one is
-    joined by shuffle, except for the rows of hot keys: those meet the few lookup rows
-    of hot keys by broadcast and so never gather in one task.
+    Rows of hot keys stay where they are: the few rows of ``table`` for hot keys, at most
+    1 / ``hot_share``, are broadcast to them. No task receives a hot key whole.
     """
-    frozen = freeze_measured(lookup)
-    table = frozen.df
-
-    def join(left: DataFrame, right: DataFrame) -> DataFrame:
-        renamed = {k: f"_lookup_{k}" for k in keys}
-        right = right.withColumnsRenamed(renamed)
-        same = F.lit(True)
-        for k, r in renamed.items():
-            same = same & (left[k].eqNullSafe(right[r]) if null_safe else left[k] == right[r])
-        return left.join(right, same, how).drop(*renamed.values())
-
-    if frozen.size <= broadcast_bytes(df.sparkSession):
-        return join(df, F.broadcast(table))
     hot = hot_keys(df, keys)
     if not hot:
-        return join(df, table)
+        return _join(df, table, keys, how, null_safe)
     is_hot = key_hash(keys).isin(hot)
-    return join(df.filter(is_hot), F.broadcast(table.filter(is_hot))).unionByName(
-        join(df.filter(~is_hot), table.filter(~is_hot))
+    of_hot = F.broadcast(table.filter(is_hot))
+    return _join(df.filter(is_hot), of_hot, keys, how, null_safe).unionByName(
+        _join(df.filter(~is_hot), table.filter(~is_hot), keys, how, null_safe)
     )
+
+
+def lookup_join(
+    df: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join ``df`` to ``lookup``, an aggregate with one row per value of ``keys``, null
+    included. The lookup is computed once and written. If it measures small it is broadcast,
+    and ``df`` is not shuffled at all; else the two meet in a ``shuffle_join``."""
+    frozen = freeze_measured(lookup)
+    if frozen.size <= broadcast_bytes(df.sparkSession):
+        return _join(df, F.broadcast(frozen.df), keys, how, True)
+    return shuffle_join(df, frozen.df, keys, how)

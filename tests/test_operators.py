@@ -327,5 +327,6 @@ def test_bad_predictions_are_not_written(spark, bad):
 
 
 def test_shared_folder_is_the_session_s(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_dir(spark) == (configured or spark.sparkContext.getCheckpointDir())
     assert read_table(spark, "/root/testdata/sf0.001/", "region").count() == 5
