@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.sketching import frequent_items
 from riskloom.settings import broadcast_bytes, hot_share
 from riskloom.sources.shared import freeze_measured
 
@@ -18,12 +19,12 @@ def key_hash(keys: Sequence[str]) -> Column:
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
     """``key_hash`` of the keys holding more than ``hot_share`` of the rows.
 
-    ``freqItems`` names every such key, and some others, in one pass without a shuffle;
-    a second pass counts the named ones. At most 1 / share numbers reach the driver.
+    A sketch names every such key, and some others; a second pass counts the named ones.
+    At most 3 / share numbers reach the driver.
     """
     share = hot_share(df.sparkSession)
     hashed = df.select(key_hash(keys).alias("h"))
-    named = hashed.freqItems(["h"], share).first()[0]
+    named = frequent_items(hashed, "h", share)
     if not named:
         return []
     counts = hashed.groupBy(F.when(F.col("h").isin(named), F.col("h")).alias("h")).count()

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import id_hash, order_key
+from riskloom.operators.sketching import approximate_quantiles
 from riskloom.settings import buckets, direct_quantile_rows
 from riskloom.sources.shared import freeze
 
@@ -26,6 +27,10 @@ BUCKET = "_bucket"
 _SEED = "_seed"
 _KEY = "_order_key"
 
+# Ranks this share of the rows to either side of a wanted one are looked at, and a sketch
+# that errs by a third of it.
+_MARGIN, _MARGIN_SKETCH = 0.002, 8_000
+
 # Hex digits of the md5 that make a bucket: 16**4 buckets of equal size.
 HASH_DIGITS = 4
 
@@ -34,17 +39,11 @@ def bucket_edges(df: DataFrame, column: str) -> list[float]:
     """Rising literal edges that cut the rows of ``df`` into about equal parts."""
     count = buckets(df.sparkSession)
     probs = [i / count for i in range(1, count)]
-    found = _approximate(df.select(order_key(df, column).alias(_KEY)), _KEY, probs, 4 * count)
+    keys = df.select(order_key(df, column).alias(_KEY))
+    found = approximate_quantiles(keys, _KEY, probs, max(200, min(8 * count, 65_535)))
     return sorted({e for e in found if math.isfinite(e)}) or [0.0]
 
 
-def _approximate(
-    df: DataFrame, column: str, probs: Sequence[float], accuracy: int
-) -> list[float]:
-    """Approximate quantiles, each off by at most a 1 / ``accuracy`` of the rows."""
-    return df.agg(F.percentile_approx(column, list(probs), accuracy)).first()[0] or []
-
-
 def with_value_bucket(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
     """Adds the bucket of ``column``; NaN, which Spark orders last, gets the last one."""
     cut = Bucketizer(
@@ -189,11 +188,12 @@ def _narrow(
     Intervals around approximate quantiles are counted exactly. Should one of them miss
     its rank, all values are kept.
     """
-    accuracy = 1000
-    near = [(r / n - 2 / accuracy, r / n + 2 / accuracy) for r in ranks]
+    near = [(r / n - _MARGIN, r / n + _MARGIN) for r in ranks]
     probs = [q for low, high in near for q in (max(low, 0.0), min(high, 1.0))]
-    found = _approximate(values, "v", probs, accuracy)
+    found = approximate_quantiles(values, "v", probs, _MARGIN_SKETCH)
     intervals: list[list[float]] = []
+    if not found:
+        return values, {r: r for r in ranks}, n
     for low, high in sorted(zip(found[::2], found[1::2])):
         if intervals and low <= intervals[-1][1]:
             intervals[-1][1] = max(high, intervals[-1][1])

@@ -29,12 +29,12 @@ def broadcast_bytes(spark: SparkSession) -> int:
 
 
 def hot_share(spark: SparkSession) -> float:
-    fallback = 1 / min(max(shuffle_partitions(spark), 100), 10_000)
+    fallback = 1 / min(max(shuffle_partitions(spark), 100), 1_000)
     return float(spark.conf.get("spark.riskloom.hotShare", str(fallback)))
 
 
 def buckets(spark: SparkSession) -> int:
-    fallback = min(max(shuffle_partitions(spark), 16), 10_000)
+    fallback = min(max(shuffle_partitions(spark), 16), 4_096)
     return int(spark.conf.get("spark.riskloom.buckets", str(fallback)))
 
 

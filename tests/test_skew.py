@@ -73,6 +73,12 @@ def test_hot_keys_are_exactly_the_frequent_ones(spark, facts, strained):
     assert hot_keys(df, ["entity"]) == [expected]
 
 
+def test_hot_keys_of_nothing(facts, strained):
+    df, _ = facts
+    assert hot_keys(df.filter("id < 0"), ["entity"]) == []
+    assert hot_keys(df, ["id"]) == []
+
+
 def test_trailing(facts, strained):
     df, rows = facts
     by_entity = defaultdict(list)
@@ -204,13 +210,13 @@ def test_quantiles_when_the_sketch_misses(lumpy, strained, monkeypatch):
     df, values = lumpy
     from riskloom.operators import ordering
 
-    real = ordering._approximate
+    real = ordering.approximate_quantiles
     monkeypatch.setattr(
         ordering,
-        "_approximate",
-        lambda frame, column, probs, accuracy: [100.0] * len(probs)
-        if accuracy == 1000
-        else real(frame, column, probs, accuracy),
+        "approximate_quantiles",
+        lambda frame, column, probs, size: [100.0] * len(probs)
+        if size == ordering._MARGIN_SKETCH
+        else real(frame, column, probs, size),
     )
     assert exact_quantiles(df, "v", [0.5]) == [interpolated(values, 0.5)]
 
