@@ -57,9 +57,9 @@ def with_value_bucket(df: DataFrame, column: str, edges: Sequence[float]) -> Dat
 
 
 def with_hash_bucket(df: DataFrame, id: str) -> DataFrame:
-    """Adds ``_hash``, the md5 of the id, and the bucket its first digits name."""
+    """Adds ``_hash``, the md5 of the id, and as bucket its first digits."""
     hashed = df.withColumn("_hash", id_hash(F.col(id)))
-    return hashed.withColumn(BUCKET, F.conv(F.substring("_hash", 1, HASH_DIGITS), 16, 10).cast("int"))
+    return hashed.withColumn(BUCKET, F.substring("_hash", 1, HASH_DIGITS))
 
 
 def running(
