@@ -60,8 +60,9 @@ def _fit_predict(
     nums: Sequence[str],
     y: str,
 ) -> DataFrame:
-    _check_categories(train, cats)
-    known = train.filter(F.col(y).isNotNull()).select(*cats, *nums, F.col(y).cast("double"))
+    # Indexing and every round of fitting read the training rows again.
+    known = freeze(train.filter(F.col(y).isNotNull()).select(*cats, *nums, F.col(y).cast("double")))
+    _check_categories(known, cats)
     model = Pipeline(stages=[*_features(cats, nums), classifier]).fit(known)
     scored = model.transform(test)
     return scored.select(*test.columns, vector_to_array("_probability")[1].alias("p"))

@@ -286,3 +286,20 @@ def test_folds_and_downsampling(spark, strained):
     kept = {i for y in (0, 1, 2) for i in (ids[1] if y == 1 else md5_order(ids[y])[:150])}
     assert {r["id"] for r in downsample(df, "y", "id", 3).collect()} == kept
     assert downsample(df.filter("y is null"), "y", "id", 3).count() == 0
+
+
+def test_sketches_over_many_tasks(spark, monkeypatch):
+    from riskloom.operators import sketching
+
+    monkeypatch.setattr(sketching, "_GROUPS", 4)
+    n = 100_000
+    df = spark.range(0, n, 1, 40).select(
+        F.col("id").cast("double").alias("x"),
+        F.when(F.col("id") % 50 == 0, 7).otherwise(F.xxhash64("id")).alias("h"),
+    )
+    probs = [i / 20 for i in range(1, 20)]
+    found = sketching.approximate_quantiles(df, "x", probs, 400)
+    assert found == [pytest.approx(p * n, abs=0.03 * n) for p in probs]
+    assert 7 in sketching.frequent_items(df, "h", 0.01)
+    assert sketching.approximate_quantiles(df.filter("x < 0"), "x", probs, 400) == []
+    assert sketching.frequent_items(df.filter("x < 0"), "h", 0.01) == []
