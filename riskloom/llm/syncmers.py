@@ -1,66 +1,74 @@
 """Document fingerprints of closed syncmers, in DataFrame functions only.
 
-A k-mer is k code points in a row. It is a closed syncmer where the least of the hashes of its
-s-mers belongs to its first or its last one. That depends on the k-mer alone, not on its
-neighbours, so texts that share a passage share its anchors, and an edited text's anchors are
-those of its kept part, those of the new part, and the few across the cut.
+The letters of the alphabet are a text's tokens: words, and every other sign that is no white
+space by itself. A k-mer is k tokens in a row. It is a closed syncmer where the least of the
+hashes of its s-mers belongs to its first or its last one. That depends on the k-mer alone, not
+on its neighbours, so texts that share a passage share its anchors, wherever they stand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S = 24, 8
+K, S = 6, 2
+#: A token: a run of letters and digits, or one other sign.
+TOKEN = r"[\p{L}\p{N}]+|\S"
 #: Hex digits of an anchor in a fingerprint.
 DIGITS = 6
 #: Buckets of ids per shuffle partition when each row meets the next one.
 BUCKETS_PER_PARTITION = 8
 
 
-def _piece(wide: Column, at: Column, size: int) -> Column:
-    """``size`` code points from ``at`` of a text in UTF-32; a cut of bytes, whatever the length."""
-    return F.substring(wide, at * 4 + 1, F.lit(4 * size))
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is made once for each row, also where ``body`` uses it in a loop."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _closed(wide: Column, n: Column, k: int, s: int) -> Column:
-    """(position, anchor) of the closed syncmers of a text of at least k code points, in UTF-32."""
-    w = k - s + 1
+def _closed(tokens: Column, k: int, s: int) -> Column:
+    """(position, anchor) of the closed syncmers; ``tokens`` are hashes, at least k of them."""
+    n, span = F.size(tokens), k - s
+    size = min(4, span)
+    # Minima of stretches of ``size`` hashes; those at ``offsets`` cover all of ``span``.
+    offsets = sorted({*range(0, span - size + 1, size), span - size})
+    mer = lambda i, length: F.xxhash64(*[F.get(tokens, i + x) for x in range(length)])
+
+    def stretches(h: Column) -> Column:
+        least = lambda i: F.least(*[F.get(h, i + x) for x in range(size)])
+        return F.transform(F.sequence(F.lit(0), n - s - (size - 1)), least) if size > 1 else h
 
-    def marks(h: Column) -> Column:
-        def least_at_edge(i: Column) -> Column:
-            return F.least(F.get(h, i), F.get(h, i + (w - 1))) <= F.array_min(F.slice(h, i + 1, w))
+    def marks(h: Column, low: Column) -> Column:
+        def edge(i: Column) -> Column:
+            # Where one edge is below all but the other edge, the least of all is at an edge.
+            first, last = F.get(h, i), F.get(h, i + span)
+            at_first = reduce(and_, [first <= F.get(low, i + x) for x in offsets])
+            return at_first | reduce(and_, [last <= F.get(low, i + x) for x in offsets])
 
         return F.transform(
-            F.filter(F.sequence(F.lit(0), n - k), least_at_edge),
-            lambda i: F.struct(i.alias("position"), F.xxhash64(_piece(wide, i, k)).alias("anchor")),
+            F.filter(F.sequence(F.lit(0), n - k), edge),
+            lambda i: F.struct(i.alias("position"), mer(i, k).alias("anchor")),
         )
 
-    hashes = F.transform(F.sequence(F.lit(0), n - s), lambda i: F.xxhash64(_piece(wide, i, s)))
-    return _let(hashes, marks)
+    hashes = F.transform(F.sequence(F.lit(0), n - s), lambda i: mer(i, s))
+    return _let(hashes, lambda h: _let(stretches(h), lambda low: marks(h, low)))
 
 
 def with_anchors(df: DataFrame, text: str, into: str, k: int = K, s: int = S) -> DataFrame:
     """``df`` with ``into``: an array of (position, anchor) for the closed syncmers of ``text``, by
-    position. A text without one (shorter than k, or by chance) has one anchor, the hash of
-    the whole text, at -1; an empty or null one has none."""
+    position in tokens. A text without one (of fewer than k tokens, or by chance) has one anchor,
+    the hash of the whole text, at -1; an empty or null one has none."""
     value = F.coalesce(F.col(text), F.lit(""))
-    n = F.length(value)
     whole = F.array(F.struct(F.lit(-1).alias("position"), F.xxhash64(value).alias("anchor")))
     none = F.array().cast("array<struct<position:int,anchor:bigint>>")
-    closed = F.when(n >= k, _let(F.encode(value, "UTF-32"), lambda wide: _closed(wide, n, k, s)))
-    return df.withColumn(
-        into,
-        _let(closed, lambda c: F.when(F.size(c) > 0, c).when(n > 0, whole).otherwise(none)),
-    )
+    tokens = F.transform(F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    closed = _let(tokens, lambda h: F.when(F.size(h) >= k, _closed(h, k, s)))
+    chosen = lambda c: F.when(F.size(c) > 0, c).when(F.length(value) > 0, whole).otherwise(none)
+    return df.withColumn(into, _let(closed, chosen))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -89,7 +97,7 @@ def with_buckets(df: DataFrame, id: str) -> tuple[DataFrame, Window]:
     numbered = df.withColumn("__place", F.col(id).cast("double"))
     marks = [i / wanted for i in range(1, wanted)]
     edges = numbered.approxQuantile("__place", marks, 0.25 / wanted) if marks else []
-    cuts = [float("-inf"), *sorted(set(edges or [])), float("inf")]
+    cuts = [float("-inf"), *(sorted(set(edges)) or [0.0]), float("inf")]
     dealt = Bucketizer(splits=cuts, inputCol="__place", outputCol="__range", handleInvalid="keep").transform(numbered)
     dealt = dealt.drop("__place")
     first = dealt.select("__range", id).groupBy("__range").agg(F.min(id).alias("first")).orderBy("__range").collect()
@@ -123,26 +131,6 @@ def fingerprint_edits(df: DataFrame, id: str, text: str, k: int = K, s: int = S)
     n = F.length("__text")
     cut = (n - F.floor(n / 4)).cast("int")
     edited = F.concat(F.substring("__text", F.lit(1), cut), F.substring("__next", F.lit(1), n - cut))
-    out = ahead.withColumns({"__cut": cut, "edited": edited})
-    # From where on a k-mer of the edited text may differ from one of the text.
-    since = F.greatest(F.lit(0), F.col("__cut") - (k - 1))
-    out = out.withColumn("__since", since)
-    out = out.withColumn("__tail", F.substring("edited", F.col("__since") + 1, F.length("edited")))
-    out = with_anchors(out, "__tail", "__new", k, s)
-    kept = F.filter("anchors", lambda m: (m["position"] >= 0) & (m["position"] < F.col("__since")))
-    moved = F.transform(
-        F.filter("__new", lambda m: m["position"] >= 0),
-        lambda m: F.struct((m["position"] + F.col("__since")).alias("position"), m["anchor"].alias("anchor")),
-    )
-    whole = F.array(F.struct(F.lit(-1).alias("position"), F.xxhash64("edited").alias("anchor")))
-    both = F.concat(kept, moved)
-    out = out.withColumn("__both", both)
-    edited_anchors = F.when((F.size("__both") > 0) | (F.length("edited") == 0), F.col("__both")).otherwise(whole)
-    return out.select(
-        F.col("__id").alias(id),
-        F.length("__text").cast("long").alias("n_chars"),
-        "edited",
-        "anchors",
-        edited_anchors.alias("edited_anchors"),
-        "next_anchors",
-    )
+    out = with_anchors(ahead.withColumn("edited", edited), "edited", "edited_anchors", k, s)
+    n_chars = n.cast("long").alias("n_chars")
+    return out.select(F.col("__id").alias(id), n_chars, "edited", "anchors", "edited_anchors", "next_anchors")
