@@ -182,10 +182,10 @@ WITH flat AS (
       '[^a-z0-9|]+', ' ', 'g') AS flat FROM documents),
 looked AS (
   SELECT doc_id, list_filter(list_transform(string_split(flat, '|'),
-      s -> {pairs}[trim(s)]), i -> i IS NOT NULL) AS ids FROM flat),
+      lambda s: {pairs}[trim(s)]), lambda i: i IS NOT NULL) AS ids FROM flat),
 marked AS (
   SELECT doc_id, ids, concat(',', array_to_string(ids, ',,'), ',') AS marked FROM looked)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences,
   coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-  coalesce(array_to_string(list_filter([{named}], x -> x IS NOT NULL), ','), '') AS licences
+  coalesce(array_to_string(list_filter([{named}], lambda x: x IS NOT NULL), ','), '') AS licences
 FROM marked"""

@@ -39,4 +39,10 @@ PAGES = (
     <section class="comments"><p>- Mine runs backwards and so is right four times a day, or so my uncle has worked out on paper.</p></section></article>""",
     """<body><nav>- Menu</nav><article><p>+ One.</p><p>+ Two words.</p><p>+ Three short words.</p><p><a href=x>+ A line that is a link</a></p></article>
     <div class="footer"><a href=1>- Imprint</a> <a href=2>- Privacy</a></div>""",
+    """<body><article><p>+ Hello there</p></article>""",
+    """<body><nav><a href=1>- Start</a></nav><article><p>+ Be.</p></article><footer>- © us</footer>""",
+    """<body><article><h1>+ On salt</h1></article>""",
+    """<body><article><p>+ A lone paragraph of a page that has nothing else to say and nobody to say it to, either.</p></article>""",
+    """<body><main><p>+ Yes.</p><p>+ No.</p></main>""",
+    """<body><div class="ad">- One sentence of an advert.</div><article><p>+ Two.</p></article>""",
 )

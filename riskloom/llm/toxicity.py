@@ -50,12 +50,13 @@ _GAP = re.compile(r"[\W_]+")
 
 def _undo(match: re.Match) -> str:
     token = match[0]
-    return token.translate(_SIGNS) if sum(c.isalpha() for c in token) * 2 >= len(token) else token
+    return token.translate(_SIGNS) if sum(c.isalpha() for c in token) * 3 >= len(token) else token
 
 
 def fold(text: str | None) -> str:
     """Words of the folded text, one space before and after each."""
-    flat = (text or "").lower().translate(_LOOK_ALIKE) if not (text or "").isascii() else text.lower()
+    flat = (text or "").lower()
+    flat = flat if flat.isascii() else flat.translate(_LOOK_ALIKE)
     flat = _DISGUISED.sub(_undo, flat)
     return f" {_GAP.sub(' ', flat).strip()} "
 

@@ -1,0 +1,148 @@
+"""The subword classifier, language identification and mixing."""
+
+from __future__ import annotations
+
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from riskloom.llm import subwords
+from riskloom.llm.language import identify_language
+from riskloom.llm.mixing import fit_rates, mix_to_weights, posteriors, rate_of
+from riskloom.llm.queries import MIX, language, mixing
+from riskloom.llm.subwords import Classifier, fit_classifier, subword_counts
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_counts_are_of_all_subwords():
+    def brute(text):
+        flat = f" {subwords.letters_of(text)} " if subwords.letters_of(text) else ""
+        return max(0, len(flat) - 1) + max(0, len(flat) - 2) + max(0, len(flat) - 3) if flat else 0
+
+    for text in (None, "", "12 !?", "a", "Ab c", "öß 𝒳y", "word " * 50):
+        assert subword_counts(text).sum() == brute(text)
+    assert (subword_counts("Hello, 7 World") == subword_counts("hello WORLD!")).all()
+
+
+def test_blocks_of_long_texts_change_nothing(monkeypatch):
+    text = "lorem ipsum dolor sit amet " * 40
+    whole = subword_counts(text)
+    for block in (7, 64, 1000, len(text.strip()), len(text.strip()) + 1):
+        monkeypatch.setattr(subwords, "_BLOCK", block)
+        assert (subword_counts(text) == whole).all(), block
+
+
+def labelled(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    return docs.select("doc_id", "text", "lang")
+
+
+def test_learns_calibrates_and_repeats(spark):
+    df = labelled(spark)
+    a, b = (fit_classifier(df.repartition(n), "doc_id", "text", "lang", rows=300) for n in (1, 5))
+    assert a.classes == ("de", "en", "es", "fr") and np.allclose(a.table, b.table)
+    assert a.temperature == b.temperature and 0 <= a.reject_under <= 1
+    got = identify_language(df, "text", a, ("doc_id", "lang")).collect()
+    letters = [r for r in got if r["lang_pred"] != "und"]
+    right = np.array([r["lang"] == r["lang_pred"] for r in letters])
+    score = np.array([r["score"] for r in letters])
+    assert right.mean() > 0.97 and abs(score.mean() - right.mean()) < 0.1
+
+
+def test_undetermined_and_empty_inputs(spark):
+    df = labelled(spark).limit(50)
+    model = fit_classifier(df, "doc_id", "text", "lang")
+    odd = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "123 !?", 1), (None, "the thing", 1)], "doc_id long, text string, score int")
+    got = {r["doc_id"]: r for r in identify_language(odd, "text", model, ("doc_id",)).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 and got[i]["rejected"] for i in (1, 2, 3))
+    assert got[None]["lang_pred"] in model.classes
+    untaught = fit_classifier(df.filter("false"), "doc_id", "text", "lang")
+    assert untaught.classes == ()
+    assert identify_language(odd, "text", untaught, ("doc_id",)).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_query_on_held_out_documents(spark):
+    got = language(spark, "/root/testdata/sf0.1").collect()
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang").collect()}
+    assert len(got) == len(lang)
+    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert all(r["held_out"] for r in held)
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def members_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, tokens long, posteriors array<double>")
+
+
+def soft(seed, n, d):
+    rng = np.random.default_rng(seed)
+    return [(i, int(rng.integers(0, 500)), [float(x) for x in rng.dirichlet(np.full(d, 0.3))]) for i in range(n)]
+
+
+def test_rates_meet_targets_and_equal_a_plain_fit(spark):
+    rows = soft(1, 400, 3)
+    weights = (0.5, 0.3, 0.2)
+    df = members_of(spark, rows)
+    mix = fit_rates(df, weights)
+    got = {r["doc_id"]: r["rate"] for r in df.withColumn("rate", rate_of(df["posteriors"], mix.steps)).collect()}
+    t, p = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+    rate = np.array([got[i] for i, _, _ in rows])
+    totals = (rate * t) @ p
+    assert (rate >= 0).all()
+    assert np.abs(totals - mix.target).max() <= 1e-3 * sum(mix.target)
+    assert np.allclose(totals, mix.reached)
+    assert np.allclose(np.array(mix.target) / sum(mix.target), weights)
+    plain = np.ones(len(rows))
+    for g in mix.steps:
+        plain = np.maximum(0, plain - p @ np.array(g))
+    assert np.allclose(plain, rate)
+
+
+def test_extreme_targets_cut_rates_at_zero(spark):
+    rows = soft(2, 300, 4)
+    mix = fit_rates(members_of(spark, rows), (0.97, 0.01, 0.01, 0.01))
+    t, p = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+    rate = np.ones(len(rows))
+    for g in mix.steps:
+        rate = np.maximum(0, rate - p @ np.array(g))
+    # No nonnegative rates do much better, says a long plain descent.
+    other, target = rate.copy(), np.array(mix.target)
+    scale = 1 / np.linalg.norm((t[:, None] * p), 2) ** 2
+    for _ in range(5000):
+        other = np.maximum(0, other - scale * ((t[:, None] * p) @ ((other * t) @ p - target)))
+    loss = lambda r: np.linalg.norm((r * t) @ p - target) / target.sum()
+    assert loss(rate) <= loss(other) + 0.02
+
+
+def model_of(classes):
+    draw = np.random.default_rng(0)
+    return Classifier(classes, draw.normal(0, 3, (subwords.BUCKETS, len(classes))), np.zeros(len(classes)))
+
+
+def test_mixing_keeps_rows_and_handles_odd_ones(spark):
+    model = model_of(("a", "b"))
+    rows = [(1, "hello there", 9), (1, "hello there", 9), (None, None, 1), (4, "", 1), (5, "some other words " * 30, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rate int")
+    got = mix_to_weights(df, "doc_id", "text", model, {"a": 0.5, "b": 0.5}).collect()
+    assert len(got) == 5 and sum(r["tokens"] for r in got) == 94
+    assert all(r["rate"] >= 0 and r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in got)
+    none = mix_to_weights(df.filter("false"), "doc_id", "text", model, {"a": 1.0})
+    assert none.count() == 0
+    assert posteriors(df, "text", model).filter("tokens = 0").count() == 2
+
+
+def test_query_reaches_its_weights(spark):
+    got = mixing(spark, FOLDER).collect()
+    total = Counter()
+    for r in got:
+        for c in MIX:
+            total[c] += r["rate"] * r["tokens"] * r[f"p_{c}"]
+    whole = sum(total.values())
+    assert all(abs(total[c] / whole - w) < 0.01 for c, w in MIX.items())
+    # No domain shrinks, so no document need go.
+    assert min(r["rate"] for r in got) > 0.9
+    copied = sum(r["copies"] * r["tokens"] for r in got)
+    assert abs(copied / sum(r["rate"] * r["tokens"] for r in got) - 1) < 0.1

@@ -1,0 +1,115 @@
+"""Main text of pages, and licence scans."""
+
+from __future__ import annotations
+
+import html
+import re
+
+import duckdb
+import numpy as np
+
+from riskloom.llm import licences
+from riskloom.llm.page_text import blocks_of, decide, describe, extract_pages, grow_tree, labelled_blocks, main_text
+from riskloom.llm.queries import licence_scan, page_text
+
+
+def test_tree_fits_its_table():
+    x, y = labelled_blocks()
+    tree = grow_tree(x, y)
+    right = np.mean([decide(tree, row) == bool(want) for row, want in zip(x, y)])
+    assert right > 0.97 and 0.3 < y.mean() < 0.8
+
+
+def test_blocks():
+    got = blocks_of("<p><b>One &amp; two<br>three<p>Four <a href='a>b'>five</a></p><!-- <p>no</p> --><script>var t='</p>';</script>six")
+    assert [(b.text, b.words, b.linked) for b in got] == [("One & two three", 4, 0), ("Four five", 2, 1), ("six", 1, 0)]
+    assert blocks_of(None) == blocks_of("") == blocks_of("<div></div>") == []
+    assert [b.text for b in blocks_of("plain < text & more")] == ["plain < text & more"]
+    assert [b.text for b in blocks_of("<p>cut off <a hre")] == ["cut off"]
+    deep = blocks_of("<div>" * 3000 + "x" + "</div>" * 3000)
+    assert [b.text for b in deep] == ["x"]
+    assert describe(blocks_of("<p>a b</p><p>c</p>")).shape == (2, 8)
+
+
+def test_unlabelled_pages():
+    page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site name</header>
+    <nav><a href=1>Home</a></nav><div class="cookie-banner"><p>We use cookies on this site, and so do many others that you visit.</p></div>
+    <article><h1>The title</h1><p>First paragraph of a story that goes on for a while, with a <a href=2>link</a> in it.</p>
+    <div class="ad-slot">Buy now!</div><p>Short.</p><ul><li>An item of a list</li></ul></article>
+    <aside class="sidebar"><p>Other stories that you may want to read when you are done with this one, if ever.</p></aside>
+    <section id="comments"><p>I do not agree with a single word of what has been written here, and I never will.</p></section>
+    <form><p>Leave a comment below.</p><input name=x></form><footer>© me</footer></body></html>"""
+    assert main_text(page).split("\n") == [
+        "The title",
+        "First paragraph of a story that goes on for a while, with a link in it.",
+        "Short.",
+        "An item of a list",
+    ]
+
+
+def test_pages_with_odd_rows(spark):
+    rows = [(1, None, "t"), (2, "", "t"), (2, "", "t"), (3, "<article><p>Hello there</p></article>", "t")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = sorted(tuple(r) for r in extract_pages(df, "html", ("page_id",)).collect())
+    assert got == [(1, ""), (2, ""), (2, ""), (3, "Hello there")]
+    assert extract_pages(df.filter("false"), "html", ("page_id",)).count() == 0
+
+
+def test_query_takes_articles_only(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r for r in page_text(spark, folder).collect()}
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", p["html"], re.S)[1]
+        parts = [html.unescape(re.sub(r"<[^>]*>", " ", x)) for x in re.split(r"</?(?:p|h1)>", article)]
+        want = "\n".join(t for x in parts if (t := " ".join(x.split())))
+        assert got[p["page_id"]]["text"] == want
+        assert got[p["page_id"]]["n_chars"] == len(want)
+
+
+def test_known_sentences_are_distinct_and_rules_known():
+    forms = [licences._normal(f) for forms in licences.SENTENCES.values() for f in forms]
+    assert len(forms) == len(set(forms)) == len(licences.known_sentences())
+    names = {r.licence for r in licences.RULES}
+    assert all(set(r.sentences) <= licences.SENTENCES.keys() and set(r.unless) <= names for r in licences.RULES)
+
+
+def scan(spark, texts):
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, licences int")
+    got = licences.scan_licences(df).orderBy("doc_id").collect()
+    return [(r["sentence_ids"], r["licences"]) for r in got]
+
+
+def test_sentences_and_ordered_rules(spark):
+    bsd = [licences.SENTENCES[s][0] for s in ("bsd-permit", "bsd-source", "bsd-binary", "bsd-endorse")]
+    texts = [
+        "Some text here. LICENSED under the  Apache License, Version 2.0.\nMore.",
+        f"{bsd[0]}\n1. {bsd[1]}.\n{bsd[2]}.",
+        f"{bsd[0]}\n{bsd[1]}.\nIn between!\n{bsd[2]}. {bsd[3]}.",
+        f"{bsd[2]}.\n{bsd[1]}.\n{bsd[0]}",
+        None,
+        "",
+        "x. " * 20_000 + "All rights reserved.",
+        "Released under the MIT License. Released under the MIT License",
+    ]
+    got = scan(spark, texts)
+    assert got[0] == (["apache-notice"], ["Apache-2.0"])
+    # A number before a clause is a sentence by itself.
+    assert got[1] == (["bsd-permit", "bsd-source", "bsd-binary"], ["BSD-2-Clause"])
+    assert got[2][1] == ["BSD-3-Clause"]
+    assert got[3] == (["bsd-binary", "bsd-source", "bsd-permit"], [])
+    assert got[4] == got[5] == ([], [])
+    assert got[6] == (["reserved"], ["all-rights-reserved"])
+    assert got[7] == (["mit-notice", "mit-notice"], ["MIT"])
+
+
+def test_query_equals_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+    want = sorted(con.sql(licences.oracle()).fetchall())
+    got = sorted(tuple(r) for r in licence_scan(spark, folder).collect())
+    assert got == want and any(r[3] for r in got)
+    plan = licence_scan(spark, folder)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
