@@ -5,15 +5,24 @@ second, pi, circularly shifted by k, gives coordinate k of the signature:
 ``min over s of pi[(sigma(s) + k) mod D]``. The K shifts of one element lie side by side in pi,
 so a signature is the elementwise minimum of K-long windows of one table.
 
-The plan, none of whose steps emits the pairs of a group:
+The plan, none of whose steps makes the pairs of a group:
 
 1. Equal sets collapse to the row of the least id, their *representative*.
 2. Representatives meet in buckets, one per band. Each bucket has a pivot, its least id; every
-   member is compared with the pivot alone, on full sets.
-3. Linked ones form components. Where a bucket still holds several components, and only
-   there, members of different components are compared, if their sizes allow a link.
+   member is compared with the pivot alone, on full sets. Linked ones form components.
+3. Members of a pivot's buckets that lie in different components may still be linked with each
+   other, unless both are linked with the pivot. ``_crossing`` finds all those that can be from
+   what each has more or less than the pivot, which is little; they are compared on full sets.
 4. The components over all links are the classes.
 
+Why 3 finds all: let x and y have a_x, a_y shingles less and b_x, b_y more than the pivot. They are linked at
+similarity t only if their sets differ by at most q = (1-t)/(1+t) of both sizes together. They
+differ by a_x + b_x + a_y + b_y less twice what their differences share. So the shingles that
+both have more are at least (f(x) - h(y)) / 2 and at least (f(y) - h(x)) / 2, where
+f = a + b - q * size and h = a - b + q * size. If both numbers are 0 or less, sizes alone do
+not tell, and the pair is compared; else the two share one of the shingles they have more, even after the
+most frequent ones but for that number are left out on one side.
+
 A pair at the threshold 0.8 shares no band with probability (1 - 0.8^6)^40 = 5e-6, a more
 similar one still less often.
 """
@@ -25,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import hash_words, map_batches, mix, words_of
@@ -102,30 +111,96 @@ def _signed(df: DataFrame, id: str, text: str, size: int, bands: int, rows: int)
     return map_batches(source, "id long, n_shingles long, set_key binary, bands array<long>", run)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough. Sets are made once for each row
-    that is in a pair, then meet the pairs in two joins."""
-    pairs = freeze(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _full_sets(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``(id, shingles)`` of the rows that are in a pair, made once. The texts are shuffled to the
+    ids, never the ids sent to all texts: they grow with the corpus."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().hint("merge")
 
     def sets(batch):
-        return {"id": batch["id"], "shingles": [shingle_set(t, size).tobytes() for t in batch["text"]]}
+        return {"shingles": [shingle_set(t, size).tobytes() for t in batch["text"]]}
 
-    full = freeze(map_batches(texts.join(needed, "id", "left_semi"), "id long, shingles binary", sets))
+    met = texts.join(needed, "id", "left_semi")
+    return freeze(map_batches(met, "shingles binary", sets, ["id"]))
 
-    def confirm(batch):
-        def similar(x: bytes, y: bytes) -> bool:
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            return 100 * both >= percent * (len(p) + len(q) - both)
 
-        linked = [similar(x, y) for x, y in zip(batch["x"], batch["y"])]
-        return {"a": batch["a"], "b": batch["b"], "linked": linked}
+def _compared(pairs: DataFrame, full: DataFrame, more: bool) -> DataFrame:
+    """The pairs with the sizes of both full sets and of what they share; with ``more`` also the
+    shingles that only ``b`` has."""
+
+    def compare(batch):
+        out = {k: [] for k in ("n_a", "n_b", "shared", *(["added"] if more else []))}
+        for x, y in zip(batch["x"], batch["y"]):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.isin(q, p, assume_unique=True)
+            out["n_a"].append(len(p))
+            out["n_b"].append(len(q))
+            out["shared"].append(int(both.sum()))
+            if more:
+                out["added"].append(q[~both].view(np.int64))
+        return out
 
     met = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     met = met.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    checked = map_batches(met.select("a", "b", "x", "y"), "a long, b long, linked boolean", confirm)
-    return freeze(checked.filter("linked").select("a", "b"))
+    schema = "n_a long, n_b long, shared long" + ", added array<long>" * more
+    return freeze(map_batches(met.select("a", "b", "x", "y"), schema, compare, ["a", "b"]))
+
+
+def _linked(percent: int) -> Column:
+    union = F.col("n_a") + F.col("n_b") - F.col("shared")
+    return F.col("shared") * 100 >= union * percent
+
+
+def _crossing(canopies: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members of a canopy that may be linked and are not known to be of one
+    component; see the module's text. ``canopies``: pivot, id, n, less, added, far (not
+    linked with the pivot), component. Numbers are whole, in units of 1 / (100 + percent)."""
+    scale, q = 100 + percent, 100 - percent
+    more = F.size("added")
+    known = canopies.withColumns(
+        {
+            "f": (F.col("less") + more) * scale - F.col("n") * q,
+            "h": (F.col("less") - more) * scale + F.col("n") * q,
+        }
+    )
+    of = known.groupBy("pivot").agg(
+        F.max("h").alias("h_max"),
+        F.min(F.when(F.col("far"), F.col("f"))).alias("f_min"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+    )
+    of = freeze(of.filter("low < high").select("pivot", "h_max", "f_min"))
+    known = freeze(known.join(of, "pivot"))
+
+    def side(df: DataFrame, end: str, *keys: str) -> DataFrame:
+        renamed = [F.col(c).alias(f"{c}_{end}") for c in ("id", "n", "f", "h", "component")]
+        return df.select(*keys, *renamed)
+
+    def pairs(df: DataFrame) -> DataFrame:
+        small, large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
+        may = (F.col("component_x") != F.col("component_y")) & (small * 100 >= large * percent)
+        a, b = F.least("id_x", "id_y"), F.greatest("id_x", "id_y")
+        return df.filter(may).select(a.alias("a"), b.alias("b"))
+
+    far = known.filter("far")
+    either = side(far.filter("f <= h_max"), "x", "pivot").join(
+        side(known.filter("h >= f_min"), "y", "pivot"), "pivot"
+    )
+    by_size = pairs(either.filter("h_y >= f_x and h_x >= f_y"))
+
+    spread = known.select("pivot", "id", "n", "f", "h", "component", F.explode("added").alias("s"))
+    common = freeze(
+        spread.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    )
+    # Of the far side's shingles the most frequent ones are left out, one less than must be shared.
+    must = F.greatest(F.lit(1), F.ceil((F.col("f") - F.col("h_max")) / (2 * scale)))
+    rare = Window.partitionBy("pivot", "id").orderBy(F.col("many").desc(), "s")
+    of_far = far.select("pivot", "id", "n", "f", "h", "component", must.alias("must"), F.explode("added").alias("s"))
+    of_far = of_far.join(common, ["pivot", "s"]).withColumn("place", F.row_number().over(rare))
+    of_far = of_far.filter("place >= must")
+    meeting = side(of_far, "x", "pivot", "s").join(
+        side(spread.join(common, ["pivot", "s"], "left_semi"), "y", "pivot", "s"), ["pivot", "s"]
+    )
+    return by_size.union(pairs(meeting)).distinct()
 
 
 def near_duplicates(
@@ -153,7 +228,7 @@ def near_duplicates(
     )
     member = freeze(member.withColumn("bands", F.when(F.col("id") == F.col("rep"), F.col("bands"))))
     banded = member.filter("bands is not null").select(
-        "id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")
+        "id", F.explode("bands").alias("key")
     )
     buckets = freeze(
         banded.groupBy("key")
@@ -161,32 +236,27 @@ def near_duplicates(
         .filter("pivot < last")
         .select("key", "pivot")
     )
-    met = freeze(banded.join(buckets, "key"))
+    met = banded.join(buckets.hint("merge"), "key")
     texts = df.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
 
     to_pivot = met.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    links = _links(to_pivot.distinct(), texts, words, percent)
+    to_pivot = freeze(to_pivot.distinct())
+    full = _full_sets(to_pivot, texts, words)
+    compared = _compared(to_pivot, full, more=True).withColumn("far", ~_linked(percent))
+    links = compared.filter(~F.col("far")).select("a", "b")
     first = components(links)
 
-    placed = met.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
-    placed = freeze(placed)
-    mixed = freeze(
-        placed.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low < high")
-        .select("key")
-    )
-    rest = freeze(placed.filter("id <> pivot").join(mixed, "key"))
-    one = rest.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    two = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    crossing = one.join(two, "key").filter(
-        (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (small * 100 >= large * percent)
-    )
-    more = _links(crossing.select("a", "b").distinct(), texts, words, percent)
-    # The rep joins classes that share an id, should an id stand on several texts.
+    canopies = compared.select(
+        F.col("a").alias("pivot"),
+        F.col("b").alias("id"),
+        F.col("n_b").alias("n"),
+        (F.col("n_a") - F.col("shared")).alias("less"),
+        "added",
+        "far",
+    ).join(first.withColumnRenamed("node", "id"), "id", "left")
+    canopies = freeze(canopies.withColumn("component", F.coalesce("component", "id")))
+    crossing = freeze(_crossing(canopies, percent))
+    more = _compared(crossing, full, more=False).filter(_linked(percent)).select("a", "b")
     classes = first if more.isEmpty() else components(links.union(more))
     result = member.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(id),
