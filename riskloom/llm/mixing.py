@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import map_batches, words_of
+from riskloom.llm.common import map_batches
 from riskloom.llm.subwords import Classifier, subword_counts
 from riskloom.sources import freeze
 
@@ -35,14 +35,14 @@ class Mixture:
 
 
 def posteriors(df: DataFrame, text: str, model: Classifier) -> DataFrame:
-    """``df`` with ``tokens`` (words) and ``posteriors`` (array, in the order of the classes). A text
+    """``df`` with ``tokens`` (runs without ASCII white space) and ``posteriors`` (array, in the order of the classes). A text
     without letters, or null, has those of the model's bias. Columns of these names are replaced."""
     packed = df.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
     def rows(batch):
         m: Classifier = packed.value
         return {
-            "tokens": [len(words_of(t)) for t in batch["__text"]],
+            "tokens": [len((t or "").encode("utf-8", "surrogatepass").split()) for t in batch["__text"]],
             "posteriors": [m.probabilities(subword_counts(t)) for t in batch["__text"]],
         }
 

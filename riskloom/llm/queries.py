@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import licences
-from riskloom.llm.common import split_of
+from riskloom.llm.common import bounded_ids, split_of
 from riskloom.llm.decontamination import contaminated
 from riskloom.llm.language import identify_language
 from riskloom.llm.mixing import mix_to_weights
@@ -14,7 +14,7 @@ from riskloom.llm.near_duplicates import near_duplicates
 from riskloom.llm.ngrams import fit_ngrams, score_texts
 from riskloom.llm.page_text import extract_pages
 from riskloom.llm.personal_data import digest, find_personal_data
-from riskloom.llm.subwords import Classifier, fit_classifier
+from riskloom.llm.subwords import FIT_ROWS, Classifier, fit_classifier
 from riskloom.llm.syncmers import fingerprint, fingerprint_edits, likeness
 from riskloom.llm.toxicity import Lexicon, fit_lexicon, score_toxicity
 from riskloom.sources import read_table
@@ -43,8 +43,9 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def domain_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Classifier:
     """Domains are the languages of the documents that ``labels`` covers."""
-    labels = read_table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return fit_classifier(docs.join(labels, "doc_id", "left_semi"), "doc_id", "text", "lang")
+    labels = read_table(spark, sf_dir, "labels")
+    labelled = docs.join(F.broadcast(bounded_ids(labels, "doc_id", FIT_ROWS)), "doc_id", "left_semi")
+    return fit_classifier(labelled, "doc_id", "text", "lang")
 
 
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def toxicity_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Lexic
     """Learned from labelled documents outside the held-out third."""
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     learned = labels.filter(split_of("doc_id", 3) != 1)
-    return fit_lexicon(docs.select("doc_id", "text").join(learned, "doc_id"), "doc_id", "text", "toxic")
+    return fit_lexicon(docs, learned, "doc_id", "text", "toxic")
 
 
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """A linear text classifier over averaged hashed subword embeddings, trained in numpy.
 
-The subwords of a text are its words' character n-grams, word ends marked, hashed into a table
+The subwords of a text are its character n-grams, word ends marked, hashed into a table
 of embeddings. A text is the mean of the embeddings of its subwords; a linear softmax follows.
 Both are trained together by stochastic gradient descent. For scoring, embeddings and softmax
 are multiplied into one table of a few numbers per subword.
@@ -8,43 +8,56 @@ are multiplied into one table of a few numbers per subword.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import bounded_sample, map_batches
+from riskloom.llm.common import bounded_ids, map_batches
 
 BUCKETS, WIDTH, EPOCHS, RATE, SEED = 1 << 13, 16, 6, 0.8, 11
 #: Most labelled rows that a classifier is fitted on.
-FIT_ROWS = 4_000
+FIT_ROWS = 2_000
 _BLOCK = 1 << 20
-_NO_LETTER = re.compile(r"[\W\d_]+")
 
 
-def letters_of(text: str | None) -> str:
-    """Letters in lower case, one space for each run of anything else."""
-    return _NO_LETTER.sub(" ", (text or "").lower()).strip()
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def letter_codes(text: str | None) -> np.ndarray:
+    """Code points of the letters in lower case, one space for each run of anything else, and
+    one at either end; nothing without letters."""
+    codes = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[codes]
+    if not letter.any():
+        return codes[:0]
+    # Of a run of other characters the first one stays.
+    stays = letter.copy()
+    stays[0] = True
+    stays[1:] |= letter[:-1]
+    return np.where(letter, codes, np.uint32(32))[stays]
 
 
 def subword_counts(text: str | None) -> np.ndarray:
-    """How often each bucket of subwords of 1 to 4 characters occurs; zeros without letters."""
-    flat = letters_of(text)
+    """How often each bucket of subwords of 2 to 4 characters occurs; zeros without letters."""
+    codes = letter_codes(text)
     counts = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(flat), _BLOCK):
-        # Blocks overlap by the longest subword less one; very long texts take bounded room.
-        piece = f" {flat}"[at : at + _BLOCK + 4] + (" " if at + _BLOCK >= len(flat) else "")
-        c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-        h = c * np.uint32(0x9E3779B1)
+    for at in range(0, len(codes) - 1, _BLOCK):
+        # Blocks overlap by the longest subword less one; hashes take bounded room.
+        c = codes[at : at + _BLOCK + 3]
+        h, found = c * np.uint32(0x9E3779B1), []
         for size in range(2, 5):
             if len(c) < size:
                 break
             h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + c[size - 1 :] * np.uint32(0xC2B2AE35)
-            n = min(len(h), _BLOCK)
-            counts += np.bincount(h[:n] >> np.uint32(32 - 13), minlength=BUCKETS)
+            found.append(h[:_BLOCK] >> np.uint32(32 - 13))
+        counts += np.bincount(np.concatenate(found), minlength=BUCKETS)
     return counts
 
 
@@ -61,7 +74,7 @@ class Classifier:
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         total = counts.sum()
-        logits = (counts @ self.table) / total + self.bias if total else self.bias
+        logits = (counts.astype(float) @ self.table) / total + self.bias if total else self.bias
         z = (logits - logits.max()) / self.temperature
         e = np.exp(z)
         return e / e.sum()
@@ -95,7 +108,9 @@ def fit_classifier(labelled: DataFrame, id: str, text: str, label: str, rows: in
     without letters are left out. A fifth is held back to fit the temperature and to
     find the score above which ``accuracy`` of them are right. Spark makes the subword counts;
     the driver gets one bounded bag for each row of the sample."""
-    usable = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
+    ids = bounded_ids(labelled.filter(F.col(label).isNotNull()), id, rows)
+    usable = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
+    usable = usable.join(F.broadcast(ids), id, "left_semi").select(
         F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label")
     )
 
@@ -109,13 +124,15 @@ def fit_classifier(labelled: DataFrame, id: str, text: str, label: str, rows: in
         return {"id": batch["id"], "label": batch["label"], "ids": ids, "counts": counts}
 
     kind = dict(usable.dtypes)["id"]
-    sample = bounded_sample(usable, "id", rows)
-    got: pa.Table = map_batches(sample, f"id {kind}, label string, ids array<int>, counts array<int>", bag).toArrow()
-    rows_ = sorted(
-        (str(i), la, np.array(b, np.int64), np.array(c, float))
-        for i, la, b, c in zip(*(got[n].to_pylist() for n in ("id", "label", "ids", "counts")))
-        if b
-    ) if got.num_rows else []
+    schema = f"id {kind}, label string, ids array<int>, counts array<int>"
+    # Repeated ids could make more rows than ids; these narrow rows are cut to the bound.
+    got: pa.Table = map_batches(usable, schema, bag).limit(rows).toArrow()
+    rows_ = [
+        (str(i), la, b.values.to_numpy(), c.values.to_numpy())
+        for i, la, b, c in zip(got["id"].to_pylist(), got["label"].to_pylist(), got["ids"], got["counts"])
+        if len(b.values)
+    ]
+    rows_.sort(key=lambda r: (r[0], r[1], len(r[2])))
     classes = tuple(sorted({r[1] for r in rows_}))
     if not classes:
         return Classifier((), np.zeros((BUCKETS, 0)), np.zeros(0))

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import bounded_sample, map_batches
+from riskloom.llm.common import bounded_ids, map_batches
 
 #: Most labelled rows that weights and curve are fitted on.
 FIT_ROWS = 30_000
@@ -134,19 +134,23 @@ def _weights(counts: list, pos: str, neg: str, n_pos: int, n_neg: int) -> dict[s
 
 
 def fit_lexicon(
-    labelled: DataFrame, id: str, text: str, label: str,
+    docs: DataFrame, labels: DataFrame, id: str, text: str, label: str,
     rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Lexicon:
-    """Lexicon and curve from rows labelled 0 or 1; other labels and null texts are left out.
+    """Lexicon and curve from the texts of ``docs`` that ``labels`` labels 0 or 1; other labels
+    and null texts are left out.
+
+    At most ``rows`` labels are taken and sent to the texts, which are not shuffled.
 
     Word counts are made by Spark; only words that may pass reach the driver, and of each row
     three numbers. Both are bounded by ``rows``. Without labelled rows, or with one class, the
     prior lexicon and curve stand.
     """
-    usable = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("y")
-    )
-    sample = bounded_sample(usable, "id", rows).withColumn(
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).cast("int").alias("y"))
+    # Labels of one id count once, and as toxic where they differ.
+    chosen = known.join(F.broadcast(bounded_ids(known, "id", rows)), "id").groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter("text is not null")
+    sample = texts.join(F.broadcast(chosen), "id").withColumn(
         "half", (F.crc32(F.col("id").cast("string")).bitwiseAND(8) > 0).cast("int")
     )
 
@@ -165,7 +169,8 @@ def fit_lexicon(
         .orderBy("word")
         .collect()
     )
-    total = {(r["y"], r["half"]): r["n"] for r in sample.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
+    sizes = sample.groupBy("y", "half").agg(F.count("*").alias("n")).collect()
+    total = {(r["y"], r["half"]): r["n"] for r in sizes}
     n = lambda y, *h: sum(total.get((y, x), 0) for x in h)
     halves = [_weights(counts, f"p{h}", f"n{h}", n(1, h), n(0, h)) for h in (0, 1)]
 

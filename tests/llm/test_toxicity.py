@@ -59,7 +59,7 @@ def rows(n=300, seed=2):
 
 def test_learns_unknown_words_and_catches_disguises(spark):
     df = spark.createDataFrame(rows(), "id long, text string, toxic int")
-    lexicon = tox.fit_lexicon(df, "id", "text", "toxic")
+    lexicon = tox.fit_lexicon(df, df, "id", "text", "toxic")
     assert {"blarg", "florp", "znort"} <= lexicon.weights.keys()
     fresh = [(i, t, y) for i, t, y in rows(120, 9)] + [(1000, "bl4rg wa wb and flоrp, ZN0RT wc", 1)]
     got = tox.score_toxicity(spark.createDataFrame(fresh, "id long, text string, y int"), "text", lexicon, ("id", "y"))
@@ -70,20 +70,20 @@ def test_learns_unknown_words_and_catches_disguises(spark):
 
 def test_fitting_is_repeatable_and_bounded(spark):
     df = spark.createDataFrame(rows(), "id long, text string, toxic int")
-    a, b = (tox.fit_lexicon(df.repartition(n), "id", "text", "toxic") for n in (1, 7))
+    a, b = (tox.fit_lexicon(df.repartition(n), df, "id", "text", "toxic") for n in (1, 7))
     assert a.weights == b.weights and max(abs(x - y) for x, y in zip(a.curve, b.curve)) < 1e-9
-    few = tox.fit_lexicon(df, "id", "text", "toxic", rows=1)
+    few = tox.fit_lexicon(df, df, "id", "text", "toxic", rows=1)
     assert few.weights.keys() == tox.PRIOR.keys()
 
 
 def test_nulls_no_rows_and_clashing_columns(spark):
     some = [(None, None, None), (1, None, 1), (2, "", 0), (3, "an idiot", 7), (3, "an idiot", 7)]
     df = spark.createDataFrame(some, "id long, text string, toxicity int")
-    lexicon = tox.fit_lexicon(df, "id", "text", "toxicity")
+    lexicon = tox.fit_lexicon(df, df, "id", "text", "toxicity")
     got = tox.score_toxicity(df, "text", lexicon, ("id",)).collect()
     assert len(got) == 5 and len({r["toxicity"] for r in got if not r["toxic_matches"]}) == 1
     none = df.filter("false")
-    assert tox.score_toxicity(none, "text", tox.fit_lexicon(none, "id", "text", "toxicity"), ("id",)).count() == 0
+    assert tox.score_toxicity(none, "text", tox.fit_lexicon(none, none, "id", "text", "toxicity"), ("id",)).count() == 0
 
 
 def test_query_on_held_out_documents(spark):
