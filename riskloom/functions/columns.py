@@ -21,6 +21,22 @@ def units(value: Column, scale: int | None) -> Column:
     return F.rint(value * F.lit(float(10**scale))).cast("bigint")
 
 
+def unit_parts(value: Column, scale: int | None) -> tuple[Column, Column]:
+    """High and low part of ``units``; sums of each stay within a bigint for 8e12 rows and
+    more. Without ``scale`` the low part is all, and the high one 0."""
+    whole = units(value, scale)
+    if scale is None:
+        return F.lit(0).cast("bigint"), whole
+    return F.shiftright(whole, _SPLIT), whole.bitwiseAND(F.lit((1 << _SPLIT) - 1))
+
+
+def from_parts(high: Column, low: Column, scale: int | None) -> Column:
+    """The double that sums of ``unit_parts`` make up."""
+    if scale is None:
+        return low
+    return from_units(high.cast("decimal(38,0)") * F.lit(1 << _SPLIT) + low, scale)
+
+
 def from_units(total: Column, scale: int | None) -> Column:
     return total.cast("double") / F.lit(float(10 ** (scale or 0)))
 
@@ -29,10 +45,8 @@ def exact_sum(value: Column, scale: int | None) -> Column:
     """Aggregate: the sum as a double, exact up to its final rounding if ``scale`` is given."""
     if scale is None:
         return F.sum(value.cast("double"))
-    whole = units(value, scale)
-    high = F.sum(F.shiftright(whole, _SPLIT)).cast("decimal(38,0)")
-    low = F.sum(whole.bitwiseAND(F.lit((1 << _SPLIT) - 1)))
-    return from_units(high * F.lit(1 << _SPLIT) + low, scale)
+    high, low = unit_parts(value, scale)
+    return from_parts(F.sum(high), F.sum(low), scale)
 
 
 def mean_of(value: Column, scale: int | None) -> Column:
@@ -58,7 +72,10 @@ def order_key(df: DataFrame, column: str) -> Column:
         return value.cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(value).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, T.TimestampType):
+        # Not the local time of day: that runs backwards when clocks go back.
+        return F.unix_micros(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
         seconds = F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
         return (day_number(value).cast("bigint") * 86400 + seconds).cast("double")
     raise TypeError(f"{column} has type {kind.simpleString()}: need a number or a time")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskloom.functions.columns import negative, passed, positive
+from riskloom.functions.columns import exact_sum, negative, passed, positive
 from riskloom.operators.joining import lookup_join
 from riskloom.operators.ordering import positions
 from riskloom.sources.shared import freeze
@@ -32,10 +33,21 @@ def equal_width_bin(df: DataFrame, column: str, low: float, width: float) -> Dat
     return df.withColumn(f"{column}_bin", steps)
 
 
-def after_cut(column: str, id: str, value: object, last_id: object, rising: bool = True) -> Column:
+def after_cut(column: str, id: str, value: Column, last_id: object, rising: bool = True) -> Column:
     """Whether a row comes after the row ``(value, last_id)`` by ``column`` and then id."""
-    beyond = F.col(column) > F.lit(value) if rising else F.col(column) < F.lit(value)
-    return beyond | ((F.col(column) == F.lit(value)) & (F.col(id) > F.lit(last_id)))
+    beyond = F.col(column) > value if rising else F.col(column) < value
+    return beyond | ((F.col(column) == value) & (F.col(id) > F.lit(last_id)))
+
+
+def _carried(df: DataFrame, column: str) -> tuple[Column, Callable[[object], Column]]:
+    """A value in a form the driver can hold, and back to a literal of the column's type. Python's
+    times would take the zone of the driver or of the session on their way."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column), lambda v: F.timestamp_micros(F.lit(v))
+    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
+        return F.col(column).cast("string"), lambda v: F.lit(v).cast(kind)
+    return F.col(column), F.lit
 
 
 def quantile_bin(df: DataFrame, column: str, k: int, id: str, rising: bool = True) -> DataFrame:
@@ -51,23 +63,29 @@ def quantile_bin(df: DataFrame, column: str, k: int, id: str, rising: bool = Tru
     n = placed.count()
     size, rest = divmod(n, k)
     ends = {i * size + min(i, rest) for i in range(1, k)} - {0, n}
-    cuts = placed.filter(F.col("_position").isin(sorted(ends))).collect() if ends else []
+    held, literal = _carried(df, column)
+    last = placed.filter(F.col("_position").isin(sorted(ends)))
+    cuts = last.select("_position", id, held.alias("_value")).collect() if ends else []
     cuts.sort(key=lambda row: row["_position"])
-    bin = 1 + passed([after_cut(column, id, row[column], row[id], rising) for row in cuts])
+    after = [after_cut(column, id, literal(row["_value"]), row[id], rising) for row in cuts]
+    bin = 1 + passed(after)
     return df.withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), bin))
 
 
-def target_encode_oof(df: DataFrame, column: str, y: str, fold: str, weight: float) -> DataFrame:
+def target_encode_oof(
+    df: DataFrame, column: str, y: str, fold: str, weight: float, scale: int | None = None
+) -> DataFrame:
     """Adds ``<column>_target``: the mean of ``y`` over the category's rows outside the row's
     own fold, drawn towards the mean of all rows outside it as by ``weight`` further rows.
 
     Nothing of a fold's labels enters its own encoding. All sums come from one table of
-    (category, fold) cells, and the rows are joined to it once.
+    (category, fold) cells, and the rows are joined to it once. ``y`` may be any number; whole
+    numbers are summed exactly, and others are where ``scale`` names their decimals.
     """
+    whole = isinstance(df.schema[y].dataType, (T.IntegralType, T.BooleanType))
+    total_y = F.sum(F.col(y).cast("bigint")) if whole else exact_sum(F.col(y), scale)
     cells = freeze(
-        df.groupBy(column, fold).agg(
-            F.count(y).alias("_n"), F.sum(F.col(y).cast("bigint")).alias("_s")
-        )
+        df.groupBy(column, fold).agg(F.count(y).alias("_n"), total_y.alias("_s"))
     ).fillna(0, ["_s"])
     total = cells.agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s")).first()
     # A category has a cell per fold: few enough for a window.

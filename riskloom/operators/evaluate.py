@@ -82,8 +82,14 @@ def threshold_table(df: DataFrame, y: str, score: str, cuts: Sequence[float]) ->
     counts = labelled.groupBy(reached.alias("_reached")).agg(
         positive(F.col(y)).alias("_pos"), negative(F.col(y)).alias("_neg")
     )
+    if not rising:
+        raise ValueError("no cuts")
+    # Every cut has a row, also where no row of the table reaches or misses it.
+    none = df.sparkSession.range(1).select(
+        F.lit(0).alias("_reached"), F.lit(0).cast("bigint").alias("_pos"), F.lit(0).cast("bigint").alias("_neg")
+    )
     cut = F.posexplode(F.array(*(F.lit(c).cast("double") for c in rising)))
-    per_cut = counts.select("*", cut.alias("_place", "cut"))
+    per_cut = counts.unionByName(none).select("*", cut.alias("_place", "cut"))
     over = F.col("_reached") > F.col("_place")
 
     def total(n: str, when: Column) -> Column:
@@ -99,8 +105,12 @@ def threshold_table(df: DataFrame, y: str, score: str, cuts: Sequence[float]) ->
 
 def calibration(df: DataFrame, y: str, p: str) -> DataFrame:
     """Per tenth of the predicted probability: rows, mean prediction, mean label, log loss.
-    1.0 belongs to the last tenth; the loss takes p from 1e-15 to 1 - 1e-15."""
-    labelled = df.select(y, p).dropna()
+    1.0 belongs to the last tenth; the loss takes p from 1e-15 to 1 - 1e-15. A p outside 0 to 1
+    is an error."""
+    labelled = df.select(y, p).dropna().filter(F.col(y).isin(0, 1))
+    in_range = F.col(p).between(0, 1)
+    problem = F.concat(F.lit(f"{p} is no probability: "), F.col(p).cast("string"))
+    labelled = labelled.withColumn(p, F.when(in_range, F.col(p)).otherwise(F.raise_error(problem)))
     safe = F.greatest(F.least(F.col(p), F.lit(1 - 1e-15)), F.lit(1e-15))
     loss = -F.when(F.col(y) == 1, F.ln(safe)).otherwise(F.ln(1 - safe))
     tenth = F.least(F.floor(F.col(p) * 10), F.lit(9).cast("bigint"))

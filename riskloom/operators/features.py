@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from riskloom.functions.columns import (
     day_number,
     exact_sum,
-    from_units,
+    from_parts,
     mean_of,
     moment,
-    units,
+    unit_parts,
 )
 from riskloom.operators.joining import hot_keys, key_hash, lookup_join
 from riskloom.operators.ordering import (
@@ -75,38 +75,36 @@ def trailing_features(
     """``trailing_count`` and ``trailing_sum`` of the entity's facts on the ``days`` calendar
     days before the row's own, which is left out. Null for a row without a time."""
 
-    def add(rows: DataFrame, n: Column, amount: Column) -> DataFrame:
+    def add(rows: DataFrame, n: Column, high: Column, low: Column) -> DataFrame:
         order = Window.partitionBy(entity).orderBy(_DAY)
-        if scale is None:
-            near = order.rangeBetween(-days, -1)
-            count, total = F.sum(n).over(near), F.sum(amount).over(near)
-        else:
+
+        def near(part: Column) -> Column:
+            if scale is None:
+                return F.coalesce(F.sum(part).over(order.rangeBetween(-days, -1)), F.lit(0))
             # Difference of two growing frames: each row is added once, where a sliding
             # frame is summed anew for every row. Exact, as these are whole numbers.
-            before = order.rangeBetween(Window.unboundedPreceding, -1)
-            past = order.rangeBetween(Window.unboundedPreceding, -days - 1)
-            zero = F.lit(0)
-            count = F.coalesce(F.sum(n).over(before), zero) - F.coalesce(F.sum(n).over(past), zero)
-            total = F.coalesce(F.sum(amount).over(before), zero) - F.coalesce(
-                F.sum(amount).over(past), zero
-            )
+            before = F.sum(part).over(order.rangeBetween(Window.unboundedPreceding, -1))
+            past = F.sum(part).over(order.rangeBetween(Window.unboundedPreceding, -days - 1))
+            return F.coalesce(before, F.lit(0)) - F.coalesce(past, F.lit(0))
+
         dated = F.col(_DAY).isNotNull()
+        total = from_parts(near(high), near(low), scale).cast("double")
         return rows.withColumns(
             {
-                "trailing_count": F.when(dated, F.coalesce(count, F.lit(0))),
-                "trailing_sum": F.when(dated, F.coalesce(from_units(total, scale), F.lit(0.0))),
+                "trailing_count": F.when(dated, near(n)),
+                "trailing_sum": F.when(dated, total),
             }
         )
 
     dated = facts.withColumn(_DAY, day_number(F.col(time)))
     ordinary, hot = _split_hot(dated, entity)
-    amount = units(F.col(value), scale)
-    result = add(ordinary, F.lit(1).cast("bigint"), amount)
+    high, low = unit_parts(F.col(value), scale)
+    result = add(ordinary, F.lit(1).cast("bigint"), high, low)
     if hot is not None:
         daily = hot.groupBy(entity, _DAY).agg(
-            F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_amount")
+            F.count(F.lit(1)).alias("_n"), F.sum(high).alias("_high"), F.sum(low).alias("_low")
         )
-        daily = add(daily, F.col("_n"), F.col("_amount")).drop("_n", "_amount")
+        daily = add(daily, F.col("_n"), F.col("_high"), F.col("_low")).drop("_n", "_high", "_low")
         result = result.unionByName(lookup_join(hot, daily, [entity, _DAY]))
     return result.drop(_DAY)
 
@@ -184,11 +182,11 @@ def group_rank(df: DataFrame, group: str, column: str, scale: int | None = None)
     Ranks are found on distinct (group, value) pairs, so neither a big group nor a common
     value meets in one task.
     """
-    amount = F.sum(units(F.col(column), scale))
-    ranked = value_counts_in_order(
-        df, column, [group], {"_n": F.count(F.lit(1)), "_amount": amount}
-    )
-    mean = from_units(F.col("_amount_total"), scale) / F.col("_n_total")
+    high, low = unit_parts(F.col(column), scale)
+    sums = {"_n": F.count(F.lit(1)), "_high": F.sum(high), "_low": F.sum(low)}
+    ranked = value_counts_in_order(df, column, [group], sums)
+    total = from_parts(F.col("_high_total"), F.col("_low_total"), scale)
+    mean = total.cast("double") / F.col("_n_total")
     others = F.col("_n_total") - 1
     lookup = ranked.select(
         group,
@@ -204,10 +202,18 @@ def group_rank(df: DataFrame, group: str, column: str, scale: int | None = None)
 def cross_feature(
     df: DataFrame, columns: Sequence[str], value: str, scale: int | None = None
 ) -> DataFrame:
-    """Per combination of ``columns``, its name joined by ``|``, its rows and the mean of
-    ``value``. A null part shows as nothing."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    """Per combination of ``columns``: these, its name, its rows and the mean of ``value``.
+
+    The name joins the parts by ``|``. A backslash stands before a backslash or ``|`` of a part,
+    and a null part is ``\\N``, so different combinations have different names.
+    """
+
+    def part(column: str) -> Column:
+        text = F.regexp_replace(F.col(column).cast("string"), r"([\\|])", r"\\$1")
+        return F.coalesce(text, F.lit(r"\N"))
+
     grouped = df.groupBy(*columns).agg(
         F.count(F.lit(1)).alias("n"), mean_of(F.col(value), scale).alias("mean_value")
     )
-    return grouped.select(F.concat_ws("|", *parts).alias("combination"), "n", "mean_value")
+    name = F.concat_ws("|", *(part(c) for c in columns)).alias("combination")
+    return grouped.select(*columns, name, "n", "mean_value")

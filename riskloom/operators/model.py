@@ -15,25 +15,9 @@ from riskloom.operators.joining import lookup_join
 from riskloom.operators.ordering import value_counts_in_order
 from riskloom.sources.shared import freeze
 
-# A string index and its one-hot width live on the driver and in every coefficient vector.
-MAX_CATEGORIES = 10_000
-MAX_FOLDS = 100
-
 FitPredict = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def _check_categories(train: DataFrame, cats: Sequence[str]) -> None:
-    if not cats:
-        return
-    counts = train.agg(*(F.approx_count_distinct(c).alias(c) for c in cats)).first()
-    wide = [c for c in cats if counts[c] > MAX_CATEGORIES]
-    if wide:
-        raise ValueError(
-            f"over {MAX_CATEGORIES} categories in {', '.join(wide)}: "
-            "use count_encode or target_encode_oof there"
-        )
-
-
 def _features(cats: Sequence[str], nums: Sequence[str]) -> list[Estimator]:
     stages = []
     if cats:
@@ -60,8 +44,11 @@ def _fit_predict(
     nums: Sequence[str],
     y: str,
 ) -> DataFrame:
-    _check_categories(train, cats)
-    known = train.filter(F.col(y).isNotNull()).select(*cats, *nums, F.col(y).cast("double"))
+    label = F.col(y).cast("double")
+    fault = F.concat(F.lit(f"{y} must be 0 or 1, not "), label.cast("string"))
+    binary = F.when(label.isin(0.0, 1.0), label).otherwise(F.raise_error(fault))
+    # Every stage of the fit reads these rows, most of them several times.
+    known = freeze(train.filter(label.isNotNull()).select(*cats, *nums, binary.alias(y)))
     model = Pipeline(stages=[*_features(cats, nums), classifier]).fit(known)
     scored = model.transform(test)
     return scored.select(*test.columns, vector_to_array("_probability")[1].alias("p"))
@@ -77,7 +64,9 @@ def fit_predict_logistic(
     reg: float = 0.01,
 ) -> DataFrame:
     """``test`` with ``p``, the probability of ``y`` = 1 by a logistic regression on ``train``.
-    Categories unseen in training share one column. Null numbers are an error: impute them."""
+    Categories unseen in training share one column. Null numbers are an error (impute them), and so
+    are labels other than 0 and 1. A category costs the driver a name and a coefficient, however many
+    rows have it: ``count_encode`` or ``target_encode_oof`` columns of millions of categories."""
     classifier = LogisticRegression(
         featuresCol="_features",
         labelCol=y,
@@ -113,31 +102,39 @@ def fit_predict_gbt(
     return _fit_predict(classifier, train, test, cats, nums, y)
 
 
-def oof_predict(df: DataFrame, fold: str, fit: FitPredict) -> DataFrame:
-    """Every row of ``df`` scored by ``fit(train, test)`` trained on the other folds.
+def oof_predict(
+    df: DataFrame, fold: str, folds: Sequence[object], fit: FitPredict
+) -> DataFrame:
+    """Every row of ``df`` scored by ``fit(train, test)`` trained on the other ``folds``. A row of
+    no listed fold is an error.
 
-    ``df`` is frozen first: all the fits read its columns from the shared folder instead of
-    computing them anew.
+    ``df`` is written first, one folder for each fold: a fit reads the folders it needs.
     """
-    ready = freeze(df)
-    folds = [row[0] for row in ready.select(fold).distinct().limit(MAX_FOLDS + 1).collect()]
-    if len(folds) > MAX_FOLDS or None in folds:
-        raise ValueError(f"{fold} must hold at most {MAX_FOLDS} different values and no null")
+    folds = list(dict.fromkeys(folds))
     if len(folds) < 2:
-        raise ValueError(f"{fold} must hold at least two different values")
+        raise ValueError(f"{fold} must have at least two folds")
     here = F.col(fold)
-    parts = [fit(ready.filter(here != f), ready.filter(here == f)) for f in sorted(folds)]
+    listed = F.coalesce(here.isin(folds), F.lit(False))
+    fault = F.concat(F.lit(f"{fold} has a row of no listed fold: "), F.coalesce(here.cast("string"), F.lit("null")))
+    checked = df.withColumn(fold, F.when(listed, here).otherwise(F.raise_error(fault)))
+    ready = freeze(checked, by=fold).select(*df.columns)
+    parts = [fit(ready.filter(here != f), ready.filter(here == f)) for f in folds]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
 
 
-def rank_blend(df: DataFrame, scores: Sequence[str], weights: Sequence[float]) -> DataFrame:
+def rank_blend(
+    df: DataFrame, scores: Sequence[str], weights: Sequence[float], id: str
+) -> DataFrame:
     """Adds ``blend``, the weighted sum of the scores' percent ranks. Blending ranks needs no
-    common scale. Null where a score is null. Scores tend to be costly to compute, and every
-    one is read more than once, so ``df`` is frozen first."""
-    ranked = ready = freeze(df)
+    common scale. Null where a score is null.
+
+    Only the unique ``id`` and the scores are written, ranked and joined to the ranks, as scores tend
+    to be costly to compute; ``df`` meets the blend once, by its id.
+    """
+    ranked = ready = freeze(df.select(id, *scores))
     blend = F.lit(0.0)
     for i, (score, weight) in enumerate(zip(scores, weights, strict=True)):
         placed = value_counts_in_order(ready, score, [], {"_n": F.count(F.lit(1))})
@@ -146,4 +143,6 @@ def rank_blend(df: DataFrame, scores: Sequence[str], weights: Sequence[float]) -
         lookup = placed.select(score, rank.alias(f"_rank{i}"))
         ranked = lookup_join(ranked, lookup, [score])
         blend = blend + F.lit(float(weight)) * F.col(f"_rank{i}")
-    return ranked.select(*df.columns, blend.alias("blend"))
+    if set(df.columns) == {id, *scores}:
+        return ranked.select(*df.columns, blend.alias("blend"))
+    return lookup_join(df, ranked.select(id, blend.alias("blend")), [id])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import id_hash, order_key
 from riskloom.operators.sketching import approximate_quantiles
-from riskloom.settings import buckets, direct_quantile_rows
+from riskloom.settings import buckets, hash_digits
 from riskloom.sources.shared import freeze
 
 BUCKET = "_bucket"
@@ -31,16 +31,17 @@ _KEY = "_order_key"
 # that errs by a third of it.
 _MARGIN, _MARGIN_SKETCH = 0.002, 8_000
 
-# Hex digits of the md5 that make a bucket: 16**4 buckets of equal size.
-HASH_DIGITS = 4
-
 
 def bucket_edges(df: DataFrame, column: str) -> list[float]:
     """Rising literal edges that cut the rows of ``df`` into about equal parts."""
-    count = buckets(df.sparkSession)
-    probs = [i / count for i in range(1, count)]
+    spark = df.sparkSession
+
+    def probs(rows: int) -> list[float]:
+        count = buckets(spark, rows)
+        return [i / count for i in range(1, count)]
+
     keys = df.select(order_key(df, column).alias(_KEY))
-    found = approximate_quantiles(keys, _KEY, probs, max(200, min(8 * count, 65_535)))
+    found = approximate_quantiles(keys, _KEY, probs, max(200, min(8 * buckets(spark), 65_535)))
     return sorted({e for e in found if math.isfinite(e)}) or [0.0]
 
 
@@ -57,9 +58,11 @@ def with_value_bucket(df: DataFrame, column: str, edges: Sequence[float]) -> Dat
 
 
 def with_hash_bucket(df: DataFrame, id: str) -> DataFrame:
-    """Adds ``_hash``, the md5 of the id, and as bucket its first digits."""
+    """Adds ``_hash``, the md5 of the id, and as bucket its first digits, as many as the number
+    of rows asks for. Runs a count."""
+    digits = hash_digits(df.select(id).count())
     hashed = df.withColumn("_hash", id_hash(F.col(id)))
-    return hashed.withColumn(BUCKET, F.substring("_hash", 1, HASH_DIGITS))
+    return hashed.withColumn(BUCKET, F.substring("_hash", 1, digits))
 
 
 def running(
@@ -141,14 +144,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[
         return [None] * len(probs)
     places = [p * (n - 1) for p in probs]
     ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
-    shifted, left = {r: r for r in ranks}, n
-    direct = direct_quantile_rows(df.sparkSession)
-    if n > direct:
-        values, shifted, left = _narrow(values, n, ranks)
-    if left <= direct:
-        found = _pick_few(values, list(shifted.values()))
-    else:
-        found = _pick(values, list(shifted.values()))
+    values, shifted = _narrow(values, n, ranks)
+    found = _pick(values, list(shifted.values()))
     at = {r: found[s] for r, s in shifted.items()}
     result = []
     for p in places:
@@ -157,13 +154,6 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[
     return result
 
 
-def _pick_few(values: DataFrame, places: Sequence[int]) -> dict[int, float]:
-    """The values at these places of the order, for as many rows as one array may hold."""
-    rising = values.agg(F.sort_array(F.collect_list("v")).alias("all"))
-    row = rising.select(*(F.get("all", F.lit(s)) for s in places)).first()
-    return dict(zip(places, row))
-
-
 def _pick(values: DataFrame, places: Sequence[int]) -> dict[int, float]:
     """The values at these places of the order, for any number of rows."""
     placed = value_counts_in_order(values, "v", [], {"n": F.count(F.lit(1))})
@@ -182,8 +172,8 @@ def _pick(values: DataFrame, places: Sequence[int]) -> dict[int, float]:
 
 def _narrow(
     values: DataFrame, n: int, ranks: Sequence[int]
-) -> tuple[DataFrame, dict[int, int], int]:
-    """The values near the wanted ranks, each rank's place among them, and how many they are.
+) -> tuple[DataFrame, dict[int, int]]:
+    """The values near the wanted ranks, and each rank's place among them.
 
     Intervals around approximate quantiles are counted exactly. Should one of them miss
     its rank, all values are kept.
@@ -193,7 +183,7 @@ def _narrow(
     found = approximate_quantiles(values, "v", probs, _MARGIN_SKETCH)
     intervals: list[list[float]] = []
     if not found:
-        return values, {r: r for r in ranks}, n
+        return values, {r: r for r in ranks}
     for low, high in sorted(zip(found[::2], found[1::2])):
         if intervals and low <= intervals[-1][1]:
             intervals[-1][1] = max(high, intervals[-1][1])
@@ -210,8 +200,8 @@ def _narrow(
         shifted |= {r: r - below + kept for r in ranks if below <= r < below + inside}
         kept += inside
     if len(shifted) < len(ranks):
-        return values, {r: r for r in ranks}, n
+        return values, {r: r for r in ranks}
     inside = F.lit(False)
     for pair in intervals:
         inside = inside | v.between(*pair)
-    return values.filter(inside), shifted, kept
+    return values.filter(inside), shifted

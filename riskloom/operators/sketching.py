@@ -7,7 +7,7 @@ one from every task of a large scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,14 +20,23 @@ def _by_task(df: DataFrame):
 
 
 def approximate_quantiles(
-    df: DataFrame, column: str, probs: Sequence[float], size: int
+    df: DataFrame,
+    column: str,
+    probs: Sequence[float] | Callable[[int], Sequence[float]],
+    size: int,
 ) -> list[float]:
     """Quantiles of a double column from a KLL sketch of parameter ``size``, 8 to 65,535.
-    Empty when there are no values; NaN is not counted."""
+    ``probs`` may be a function of the number of values. Empty when there are no values; NaN
+    is not counted."""
     sketches = _by_task(df).agg(F.kll_sketch_agg_double(column, size).alias("_sketch"))
     merged = sketches.agg(F.kll_merge_agg_double("_sketch", size).alias("_sketch"))
-    found = F.kll_sketch_get_quantile_double("_sketch", F.array(*(F.lit(float(p)) for p in probs)))
-    return merged.select(F.when(F.kll_sketch_get_n_double("_sketch") > 0, found)).first()[0] or []
+    row = merged.select("_sketch", F.kll_sketch_get_n_double("_sketch").alias("_n")).first()
+    if not row["_n"]:
+        return []
+    wanted = probs(row["_n"]) if callable(probs) else probs
+    ranks = F.array(*(F.lit(float(p)) for p in wanted))
+    one = df.sparkSession.createDataFrame([(row["_sketch"],)], "_sketch binary")
+    return one.select(F.kll_sketch_get_quantile_double("_sketch", ranks)).first()[0]
 
 
 def frequent_items(df: DataFrame, column: str, share: float) -> list[int]:

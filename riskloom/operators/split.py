@@ -3,6 +3,8 @@ order, so a rerun or a different partitioning gives the same parts."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,13 @@ def hash_split(df: DataFrame, id: str, k: int) -> DataFrame:
 def stratified_folds(df: DataFrame, y: str, id: str, k: int) -> DataFrame:
     """Adds ``fold`` 0..k-1: within each label the rows, in md5 order of the unique id, are
     dealt out in turn, so folds of a label differ by one row at most."""
-    dealt = with_hash_bucket(df, id).withColumn("_one", F.lit(1).cast("bigint"))
+    # Only label and id are put in order; the other columns are joined by the id afterwards.
+    dealt = with_hash_bucket(df.select(y, id), id).withColumn("_one", F.lit(1).cast("bigint"))
     numbered = running(dealt, [y], ["_hash", id], ["_one"])
-    fold = (F.col("_one_before") + 1) % k
-    return numbered.select(*df.columns, fold.alias("fold"))
+    folds = numbered.select(y, id, ((F.col("_one_before") + 1) % k).alias("fold"))
+    if set(df.columns) == {y, id}:
+        return folds.select(*df.columns, "fold")
+    return lookup_join(df, folds.drop(y), [id])
 
 
 def time_split(df: DataFrame, time: str, valid_from: str, test_from: str) -> DataFrame:
@@ -51,7 +56,7 @@ def downsample(df: DataFrame, y: str, id: str, ratio: float) -> DataFrame:
     those first in md5 order of the unique id. Rows without a label are left out.
 
     Counts per hash bucket tell how far each label may go. Buckets below its last one are
-    kept whole by a plain filter; only the last one, a 65,536th of the rows, is ordered.
+    kept whole by a plain filter; only the last one, a 65,536th of the rows or less, is ordered.
     """
     hashed = with_hash_bucket(df.filter(F.col(y).isNotNull()), id)
     counts = freeze(hashed.groupBy(y, BUCKET).agg(F.count(F.lit(1)).alias("_n")))
@@ -59,7 +64,8 @@ def downsample(df: DataFrame, y: str, id: str, ratio: float) -> DataFrame:
     rarest = sizes.orderBy("_label_n", y).first()
     if rarest is None:
         return df.limit(0)
-    quota = int(ratio * rarest["_label_n"])
+    # As decimals: 1.15 * 100 is under 115 in doubles.
+    quota = int(Decimal(str(ratio)) * rarest["_label_n"])
     so_far = Window.partitionBy(y).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(so_far), F.lit(0))
     last = (

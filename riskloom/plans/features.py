@@ -157,7 +157,8 @@ PLANS = {
             scale=2,
         ),
         """
-        SELECT concat_ws('|', c_mktsegment, c_nationkey) AS combination, count(*) AS n,
+        SELECT c_mktsegment, c_nationkey,
+               concat_ws('|', c_mktsegment, c_nationkey) AS combination, count(*) AS n,
                CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean_value
         FROM customer GROUP BY c_mktsegment, c_nationkey
         """,

@@ -44,16 +44,32 @@ def _out_of_fold(spark, folder):
     scored = oof_predict(
         rows,
         "fold",
+        range(3),
         lambda train, test: fit_predict_logistic(train, test, _CATS, _NUMS, "quality"),
     )
     return scored.select("doc_id", "quality", "fold", "p")
 
 
+def _scored_folds(spark, folder):
+    """What SQL can say of out-of-fold scores: rows and positives of each fold, and that every
+    score is a probability."""
+    sound = F.count_if(F.col("p").between(0, 1))
+    return (
+        _out_of_fold(spark, folder)
+        .groupBy("fold")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("quality") == 1).alias("n_pos"),
+            sound.alias("n_probabilities"),
+        )
+    )
+
+
 def _blended(spark, folder):
     documents = read_table(spark, folder, "documents")
     words = F.size(F.split("text", " ")).cast("bigint")
     scored = documents.select("doc_id", "n_chars", words.alias("n_words"))
-    return rank_blend(scored, ["n_chars", "n_words"], [0.6, 0.4])
+    return rank_blend(scored, ["n_chars", "n_words"], [0.6, 0.4], "doc_id")
 
 
 def _written(spark, folder):
@@ -122,6 +138,15 @@ PLANS = {
     "fit_predict_logistic": Plan(_held_out(fit_predict_logistic)),
     "fit_predict_gbt": Plan(_held_out(fit_predict_gbt)),
     "oof_predict": Plan(_out_of_fold),
+    "oof_predict_folds": Plan(
+        _scored_folds,
+        """
+        SELECT CAST('0x' || substr(md5(CAST(l.doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 3 AS fold,
+               count(*) AS n, count(*) FILTER (quality = 1) AS n_pos,
+               count(*) AS n_probabilities
+        FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY 1
+        """,
+    ),
     "rank_blend": Plan(
         _blended,
         """

@@ -16,6 +16,7 @@ from riskloom.operators import (
 from riskloom.plans.plan import Plan
 from riskloom.sources import read_table
 
+_TYPED = ["l_orderkey", "l_returnflag", "l_shipdate"]
 _PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -40,6 +41,28 @@ PLANS = {
             for c in _PROFILED
         ),
     ),
+    "profile_typed_columns": Plan(
+        lambda spark, folder: profile_columns(
+            read_table(spark, folder, "lineitem").withColumn(
+                "l_shipdate", F.to_date("l_shipdate")
+            ),
+            _TYPED,
+            as_text=True,
+        ),
+        " UNION ALL ".join(
+            f"""
+            SELECT '{c}' AS column_name, count(*) AS n, count(*) - count(v) AS nulls,
+                   count(DISTINCT v) AS distinct_values, CAST(min(v) AS VARCHAR) AS min_value,
+                   CAST(max(v) AS VARCHAR) AS max_value, {mean} AS mean_value
+            FROM (SELECT {value} AS v FROM lineitem)
+            """
+            for c, value, mean in (
+                ("l_orderkey", "l_orderkey", "CAST(sum(v) AS DOUBLE) / count(v)"),
+                ("l_returnflag", "l_returnflag", "CAST(NULL AS DOUBLE)"),
+                ("l_shipdate", "CAST(l_shipdate AS DATE)", "CAST(NULL AS DOUBLE)"),
+            )
+        ),
+    ),
     "dominant_value": Plan(
         lambda spark, folder: dominant_value(read_table(spark, folder, "lineitem"), "l_returnflag"),
         """

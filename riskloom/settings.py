@@ -7,12 +7,11 @@ setting                                   default    meaning
                                                      executor
 ``spark.riskloom.hotShare``               see below  share of rows from which a key is hot
 ``spark.riskloom.buckets``                see below  buckets of a global order
-``spark.riskloom.directQuantileRows``     100,000    values one task may sort for a quantile;
-                                                     more are narrowed down first
 ========================================  =========  =====================================
 
-``hotShare`` and ``buckets`` follow ``spark.sql.shuffle.partitions``: a key is hot when
-it outweighs an average shuffle partition, and a global order gets a bucket per partition.
+``hotShare`` follows ``spark.sql.shuffle.partitions``: a key is hot when it outweighs an
+average shuffle partition, or a hundredth of the rows where partitions are fewer than that.
+A global order gets a bucket per partition, and more where ``ROWS_PER_BUCKET`` ask for them.
 """
 
 from __future__ import annotations
@@ -28,15 +27,23 @@ def broadcast_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.riskloom.broadcastBytes", str(32 * 2**20)))
 
 
+# Rows one task is to put in order within a bucket.
+ROWS_PER_BUCKET = 1_000_000
+
+
 def hot_share(spark: SparkSession) -> float:
-    fallback = 1 / min(max(shuffle_partitions(spark), 100), 1_000)
+    fallback = 1 / max(shuffle_partitions(spark), 100)
     return float(spark.conf.get("spark.riskloom.hotShare", str(fallback)))
 
 
-def buckets(spark: SparkSession) -> int:
-    fallback = min(max(shuffle_partitions(spark), 16), 4_096)
+def buckets(spark: SparkSession, rows: int = 0) -> int:
+    fallback = max(shuffle_partitions(spark), 16, -(-rows // ROWS_PER_BUCKET))
     return int(spark.conf.get("spark.riskloom.buckets", str(fallback)))
 
 
-def direct_quantile_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.riskloom.directQuantileRows", "100000"))
+def hash_digits(rows: int) -> int:
+    """Hex digits of a hash that make a bucket: 65,536 buckets, or as many as the rows ask for."""
+    digits = 4
+    while rows > ROWS_PER_BUCKET * 16**digits:
+        digits += 1
+    return digits

@@ -10,20 +10,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Room a row takes in a hash table besides the bytes of its strings.
-_BYTES_PER_VALUE = 16
+# Room a row and a value take in a hash table besides the bytes of strings.
+_BYTES_PER_ROW, _BYTES_PER_VALUE = 32, 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, else the
-    context's checkpoint folder. Only a local-mode session without either gets a
-    temporary folder; on a cluster that would be a disk other machines cannot see."""
+    context's checkpoint folder. On a cluster it must be one that every machine sees, as a
+    store or as a mounted folder. Only a local-mode session without either gets a
+    temporary folder; a cluster without either is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -40,13 +43,37 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/riskloom-{uuid.uuid4().hex}"
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back from there."""
+_kept: list[list[str]] = []
+
+
+def freeze(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back from there, with ``by`` in a folder for
+    each value of that column."""
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    if _kept:
+        _kept[-1].append(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables frozen inside are deleted at the end. Results that read them must have been
+    written or collected by then::
+
+        with scratch(spark):
+            rank_blend(df, scores, weights, "id").write.parquet(path)
+    """
+    _kept.append([])
+    try:
+        yield
+    finally:
+        for path in _kept.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @dataclass(frozen=True)
 class Frozen:
     """A frozen table with its measured size."""
@@ -61,10 +88,16 @@ def freeze_measured(df: DataFrame) -> Frozen:
     table = freeze(df)
     text = F.lit(0)
     for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            text = text + F.coalesce(F.octet_length(field.name), F.lit(0))
+            text = text + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            # Nested values by the length of their text, with room for what holds them.
+            written = F.octet_length(F.to_json(F.struct(value)))
+            text = text + 4 * F.coalesce(written, F.lit(0))
     seen = table.agg(
         F.count(F.lit(1)).alias("rows"), F.sum(text.cast("bigint")).alias("text_bytes")
     ).first()
-    size = seen["rows"] * len(df.columns) * _BYTES_PER_VALUE + (seen["text_bytes"] or 0)
+    room = _BYTES_PER_ROW + len(df.columns) * _BYTES_PER_VALUE
+    size = seen["rows"] * room + (seen["text_bytes"] or 0)
     return Frozen(table, seen["rows"], size)

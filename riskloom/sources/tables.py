@@ -18,14 +18,14 @@ def write_predictions(
 ) -> None:
     """Write ``id, score`` to ``path`` (csv with a header, or parquet).
 
-    Refuses repeated ids, null ids, null scores and an existing ``path``. The
+    Refuses repeated ids, null ids, null or NaN scores and an existing ``path``. The
     predictions are computed once: checks and output both read the frozen table.
     """
     if format not in ("csv", "parquet"):
         raise ValueError(f"format must be csv or parquet, not {format!r}")
     predictions = freeze(df.select(id, score))
     per_id = predictions.groupBy(id).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(score).isNull()).alias("empty")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(score).isNull() | F.isnan(F.col(score).cast("double"))).alias("empty")
     )
     found = per_id.agg(
         F.count_if(F.col("n") > 1).alias("repeated"),
@@ -35,7 +35,7 @@ def write_predictions(
     if found["repeated"] or found["nameless"] or found["empty"]:
         raise ValueError(
             f"predictions not written: {found['repeated']} repeated ids, "
-            f"{found['nameless']} null ids, {found['empty']} null scores"
+            f"{found['nameless']} null ids, {found['empty']} null or NaN scores"
         )
     writer = predictions.write.mode("errorifexists")
     if format == "csv":

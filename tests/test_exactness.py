@@ -1,0 +1,167 @@
+"""Cases the given tables do not have: time zones, large sums, other types, escapes, lifetimes."""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom import operators as ops
+from riskloom import settings
+from riskloom.sources import shared
+
+ZONES = ["UTC", "America/New_York", "Asia/Shanghai"]
+
+
+def micros(df, column):
+    """A time as a number that does not depend on the zone it is shown in."""
+    if dict(df.dtypes)[column] == "timestamp":
+        return F.unix_micros(column)
+    return F.unix_micros(F.col(column).cast("string").cast("timestamp"))
+
+
+@pytest.mark.parametrize("zone", ZONES)
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_hot_and_ordinary_keys_agree_when_clocks_go_back(spark, setting, zone, kind):
+    setting("spark.sql.session.timeZone", zone)
+    setting("spark.riskloom.buckets", 40)
+    start = 1604206800  # 2020-11-01 05:00 UTC: an hour before clocks go back in New York
+    rows = spark.range(240).select(
+        "id",
+        F.lit("one").alias("entity"),
+        F.timestamp_seconds(F.lit(start) + F.col("id") * 30).alias("time"),
+        (F.col("id") % 2 == 0).alias("target"),
+    )
+    if kind == "timestamp_ntz":
+        rows = rows.withColumn("time", F.lit("2020-11-01 00:00:00").cast(kind) + F.make_dt_interval(secs=F.col("id") * 30))
+    source = F.col("id") % 5 == 1
+    found = []
+    for share in ("0.9999", "0.1"):
+        setting("spark.riskloom.hotShare", "1.1" if share == "0.9999" else share)
+        seen = ops.last_event_asof(rows, "entity", "time", F.col("target"), source)
+        found.append(sorted(tuple(r) for r in seen.select("id", micros(seen, "time"), micros(seen, "last_time")).collect()))
+    assert found[0] == found[1] and len(found[0]) == 120
+    assert all(last is None or last <= at for _, at, last in found[0])
+
+
+def test_a_key_twice_an_average_partition_is_hot_at_any_size(spark, setting):
+    for partitions in (100, 1_000, 20_000):
+        setting("spark.sql.shuffle.partitions", partitions)
+        assert settings.hot_share(spark) < 2 / partitions
+        assert settings.buckets(spark) >= partitions
+    assert settings.buckets(spark, 10**12) == 10**12 // settings.ROWS_PER_BUCKET
+    assert settings.hash_digits(10**6) == 4
+    for rows in (10**9, 10**12, 10**14):
+        assert rows / 16 ** settings.hash_digits(rows) <= settings.ROWS_PER_BUCKET
+
+
+def test_target_encoding_of_fractions(spark):
+    rows = [("a", 0, 0.5), ("a", 1, 0.75), ("b", 0, 0.25), ("b", 1, 0.9)]
+    df = spark.createDataFrame(rows, "c string, fold int, y double")
+    for scale in (None, 2):
+        found = {(r["c"], r["fold"]): r["c_target"] for r in ops.target_encode_oof(df, "c", "y", "fold", 1, scale).collect()}
+        # Fold 1 has mean .825, fold 0 .375; one further row of that mean.
+        assert found["a", 0] == pytest.approx((0.75 + 0.825) / 2)
+        assert found["b", 0] == pytest.approx((0.9 + 0.825) / 2)
+        assert found["a", 1] == pytest.approx((0.5 + 0.375) / 2)
+
+
+def test_reference_gaps_across_types(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "k bigint")
+    right = spark.createDataFrame([(1.5,), (2.0,), (None,)], "r double")
+    assert sorted(r["k"] or 0 for r in ops.reference_gaps(left, right, {"k": "r"}).collect()) == [0, 1]
+    exact = spark.createDataFrame([(Decimal("1.5"),), (Decimal("2.0"),)], "r decimal(5,1)")
+    assert ops.reference_gaps(left, exact, {"k": "r"}).columns == ["k"]
+    assert sorted(r["k"] or 0 for r in ops.reference_gaps(left, exact, {"k": "r"}).collect()) == [0, 1]
+
+
+def test_profiles_of_other_types(spark):
+    rows = [(2**53, "b", dt.date(2020, 1, 2), 0.0), (2**53 + 1, "a", None, -0.0), (None, "a", dt.date(2019, 1, 1), math.nan)]
+    df = spark.createDataFrame(rows, "n bigint, s string, d date, x double")
+    found = {r["column_name"]: r for r in ops.profile_columns(df, df.columns, as_text=True).collect()}
+    assert found["n"]["distinct_values"] == 2 and found["n"]["nulls"] == 1
+    assert (found["n"]["min_value"], found["n"]["max_value"]) == (str(2**53), str(2**53 + 1))
+    assert (found["s"]["min_value"], found["s"]["max_value"], found["s"]["mean_value"]) == ("a", "b", None)
+    assert (found["d"]["min_value"], found["d"]["distinct_values"]) == ("2019-01-01", 2)
+    assert found["x"]["distinct_values"] == 2
+    with pytest.raises(TypeError):
+        ops.profile_columns(df, ["s"])
+    empty = ops.profile_columns(df.filter("false"), ["n"]).first()
+    assert (empty["n"], empty["distinct_values"], empty["min_value"]) == (0, 0, None)
+
+
+@pytest.mark.parametrize("zone", ZONES)
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_bins_of_times_in_any_zone(spark, setting, zone, kind):
+    setting("spark.sql.session.timeZone", zone)
+    times = F.timestamp_seconds(F.lit(1604206800 - 86400) + F.col("id") * (86400 if kind == "date" else 3600))
+    df = spark.range(48).select("id", times.cast(kind).alias("t"))
+    counts = {r["t_bin"]: r["count"] for r in ops.quantile_bin(df, "t", 2, "id").groupBy("t_bin").count().collect()}
+    assert counts == {1: 24, 2: 24}
+
+
+@pytest.mark.parametrize("ratio, kept", [(1.15, 115), (0.29, 29), (2, 200)])
+def test_quota_of_a_decimal_ratio(spark, ratio, kept):
+    df = spark.range(1100).select("id", (F.col("id") < 100).cast("int").alias("y"))
+    assert ops.downsample(df, "y", "id", ratio).filter("y = 0").count() == kept
+
+
+def test_sums_beyond_a_bigint(spark):
+    big = 9.0e16  # in hundredths nearly all a bigint holds
+    df = spark.createDataFrame([(i, "g", dt.datetime(2020, 1, 1 + i), big) for i in range(20)], "id int, g string, t timestamp_ntz, v double")
+    ranked = ops.group_rank(df, "g", "v", scale=2).collect()
+    assert all(r["group_ratio"] == pytest.approx(1.0) for r in ranked)
+    trailing = {r["id"]: r for r in ops.trailing_features(df, "g", "t", "v", 10, scale=2).collect()}
+    assert trailing[15]["trailing_count"] == 10
+    assert trailing[15]["trailing_sum"] == pytest.approx(10 * big)
+
+
+def test_hot_sums_beyond_a_bigint(spark, setting):
+    setting("spark.riskloom.hotShare", "0.1")
+    test_sums_beyond_a_bigint(spark)
+
+
+def test_every_cut_has_a_row(spark):
+    none = spark.createDataFrame([], "y int, s double")
+    found = sorted(tuple(r) for r in ops.threshold_table(none, "y", "s", [0.5, 0.1]).collect())
+    assert found == [(0.1, 0, 0, 0, 0), (0.5, 0, 0, 0, 0)]
+
+
+def test_different_combinations_have_different_names(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x"), ("\\N", "x"), ("a\\", "|x")]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "p string, q string, v double")
+    found = ops.cross_feature(df, ["p", "q"], "v").collect()
+    assert len({r["combination"] for r in found}) == len(rows)
+    names = {(r["p"], r["q"]): r["combination"] for r in found}
+    assert names[None, "x"] == r"\N|x" and names["", "x"] == "|x" and names["a|b", "c"] == r"a\|b|c"
+
+
+def test_calibration_takes_labels_and_probabilities_only(spark):
+    df = spark.createDataFrame([(0, 0.1), (1, 0.2), (2, 0.3)], "y int, p double")
+    assert sum(r["n"] for r in ops.calibration(df, "y", "p").collect()) == 2
+    for p in (1.7, -0.2, math.inf):
+        bad = spark.createDataFrame([(1, p)], "y int, p double")
+        with pytest.raises(Exception, match="no probability"):
+            ops.calibration(bad, "y", "p").collect()
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    folder = Path(shared.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("s"))
+    with shared.scratch(spark):
+        result = ops.rank_blend(df, ["s"], [1.0], "id").collect()
+        assert set(folder.iterdir()) > before
+    assert len(result) == 500 and set(folder.iterdir()) == before
+
+
+def test_nested_columns_count_in_the_measured_size(spark):
+    text = "x" * 1000
+    plain = shared.freeze_measured(spark.range(100).select(F.lit(text).alias("v")))
+    nested = shared.freeze_measured(spark.range(100).select(F.array(F.lit(text)).alias("v")))
+    assert plain.rows == nested.rows == 100 and nested.size >= plain.size

@@ -9,11 +9,12 @@ import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql.readwriter import DataFrameWriter
 
-import __spark_entry__ as contract
+from riskloom.plans import PLANS
 from tests.conftest import DATA
 
-QUERIES = contract.queries()
-FITTING = {"fit_predict_logistic", "fit_predict_gbt", "oof_predict"}
+QUERIES = {name: plan.run for name, plan in PLANS.items()}
+# Fitting runs Spark's own jobs besides; these have a test of their own.
+FITTING = {"fit_predict_logistic", "fit_predict_gbt", "oof_predict", "oof_predict_folds"}
 TEXT_FREE = {
     "auc",
     "calibration",
@@ -86,3 +87,40 @@ def test_bucketed_order_scans_once(spark):
     df = QUERIES["ks"](spark, f"{DATA}/sf0.01")
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(FITTING))
+def test_fitting_reads_the_tables_once_for_training(spark, monkeypatch, name):
+    """Training rows are written narrow, and every stage of the fit reads what was written."""
+    written = []
+    real = DataFrameWriter.parquet
+
+    def watch(writer, path, *args, **kwargs):
+        written.append(writer._df.columns)
+        return real(writer, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watch)
+    plan = plan_of(QUERIES[name](spark, f"{DATA}/sf0.001"))
+    fits = 3 if name.startswith("oof") else 1
+    assert sum(columns == ["lang", "source", "n_chars", "quality"] for columns in written) == fits
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
+    assert not re.search(r"ReadSchema: struct<[^>]*\btext:", plan)
+
+
+def test_only_narrow_rows_are_put_in_order(spark, monkeypatch):
+    """Columns besides key, id and value stay out of the ordering shuffle."""
+    from pyspark.sql import functions as F
+
+    from riskloom.operators import rank_blend, stratified_folds
+
+    rows = spark.range(200).select(
+        "id", (F.col("id") % 2).alias("y"), F.rand(1).alias("s"), F.lit("wide").alias("payload")
+    )
+    seen = []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(
+        DataFrameWriter, "parquet", lambda w, *a, **k: (seen.append(w._df), real(w, *a, **k))[1]
+    )
+    for df in (rank_blend(rows, ["s"], [1.0], "id"), stratified_folds(rows, "y", "id", 5)):
+        assert "payload" in df.columns and df.count() == 200
+    assert seen and not any("payload" in df.columns for df in seen)

@@ -98,7 +98,7 @@ def test_partitioning_changes_no_result(spark, pairs):
 
     def results(frame):
         gain = [tuple(r) for r in ops.gain_table(frame, "y", "s", "id", 4).orderBy("bin").collect()]
-        rank = ops.rank_blend(frame, ["s"], [1.0]).orderBy("id").collect()
+        rank = ops.rank_blend(frame, ["s"], [1.0], "id").orderBy("id").collect()
         return gain, [r["blend"] for r in rank], only(ops.auc(frame, "y", "s"), "auc")
 
     one, many = results(df.coalesce(1)), results(df.repartition(7))

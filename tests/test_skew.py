@@ -41,7 +41,6 @@ def strained(setting):
     setting("spark.riskloom.broadcastBytes", 0)
     setting("spark.riskloom.hotShare", 0.1)
     setting("spark.riskloom.buckets", 40)
-    setting("spark.riskloom.directQuantileRows", 10)
     setting("spark.sql.autoBroadcastJoinThreshold", -1)
 
 
@@ -197,9 +196,7 @@ def interpolated(values, p):
     return values[low] * (1 - share) + values[low + 1] * share
 
 
-@pytest.mark.parametrize("direct", [10, 400, 10_000])
-def test_quantiles(lumpy, strained, setting, direct):
-    setting("spark.riskloom.directQuantileRows", direct)
+def test_quantiles(lumpy, strained):
     df, values = lumpy
     probs = [0.01, 0.25, 0.333, 0.5, 0.75, 0.99]
     expected = [pytest.approx(interpolated(values, p)) for p in probs]
