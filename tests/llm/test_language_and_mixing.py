@@ -149,3 +149,21 @@ def test_query_reaches_its_weights(spark):
     assert min(r["rate"] for r in got) > 0.9
     copied = sum(r["copies"] * r["tokens"] for r in got)
     assert abs(copied / sum(r["rate"] * r["tokens"] for r in got) - 1) < 0.1
+
+
+def test_purest_documents_of_the_dominant_domain_stay(spark):
+    domains = [0] * 600 + [1] * 150 + [2] * 150 + [3] * 100
+    rows = []
+    for i, d in enumerate(domains):
+        top = 0.9997 if i % 5 == 0 else 0.97
+        rows.append((i, 100, [top if j == d else (1 - top) / 3 for j in range(4)]))
+    df = members_of(spark, rows)
+    weights = (0.5, 0.2, 0.18, 0.12)
+    mix = fit_rates(df, weights, floor=1.0)
+    got = df.withColumn("rate", rate_of(df["posteriors"], mix.steps, floor=1.0)).collect()
+    assert min(r["rate"] for r in got) >= 1
+    reached = np.array([[r["rate"] * r["tokens"] * x for x in r["posteriors"]] for r in got]).sum(axis=0)
+    assert np.allclose(reached, mix.reached) and np.abs(reached / reached.sum() - weights).max() < 1e-3
+    # Not much more than the least total.
+    have = np.array([[r["tokens"] * x for x in r["posteriors"]] for r in got]).sum(axis=0)
+    assert sum(mix.target) < 1.1 * (have / weights).max()

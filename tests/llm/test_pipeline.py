@@ -99,3 +99,10 @@ def test_stages_take_odd_rows_and_no_rows(spark):
         assert out.filter("doc_id is null").count() >= 1, name
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs.filter("false"), FOLDER).count() == 0, name
+
+
+def test_every_document_stays_in_the_mix(outputs):
+    before = {r[0] for r in rows(outputs["personal_data"])}
+    after = outputs["mixing"].collect()
+    assert {r["doc_id"] for r in after} == before
+    assert min(r["rate"] for r in after) >= 1
