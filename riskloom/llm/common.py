@@ -55,6 +55,28 @@ def bounded_ids(df: DataFrame, key: str, rows: int) -> DataFrame:
     return ids.orderBy(number, key).limit(rows).distinct()
 
 
+def bounded_ids_by_label(df: DataFrame, key: str, label: str, rows: int) -> DataFrame:
+    """As ``bounded_ids``, with the same room for every label: all rows of a label that has no more than
+    its share of ``rows``, and as many more of the others. Of more than ``rows`` labels the most frequent
+    are taken. Null labels are left out.
+
+    Only ids and labels are read. The hash of a row's id, stretched by what its label has too many, is its
+    place; expected to be in front are as many of a label as there is room for. Nothing is shuffled by label."""
+    ids = df.select(key, label).filter(F.col(key).isNotNull() & F.col(label).isNotNull())
+    counts = ids.groupBy(label).count().orderBy(F.desc("count"), label).limit(rows).collect()
+    room, left = [], rows
+    for i, r in enumerate(reversed(counts)):
+        share = min(r["count"], left // (len(counts) - i))
+        left -= share
+        room.append((r[label], 0.0 if share == r["count"] else r["count"] / share))
+    kind = dict(ids.dtypes)[label]
+    stretch = df.sparkSession.createDataFrame(room, f"`{label}` {kind}, __stretch double")
+    number = F.xxhash64(F.col(key).cast("string"))
+    place = (number / F.lit(2.0**64) + 0.5) * F.col("__stretch")
+    near = ids.join(F.broadcast(stretch), label).withColumn("__place", place).filter("__place < 4")
+    return near.orderBy("__place", number, key).limit(rows).select(key).distinct()
+
+
 def map_batches(
     df: DataFrame,
     schema: str,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import licences
-from riskloom.llm.common import bounded_ids, split_of
+from riskloom.llm.common import bounded_ids_by_label, split_of
 from riskloom.llm.decontamination import contaminated
 from riskloom.llm.language import identify_language
 from riskloom.llm.mixing import mix_to_weights
@@ -17,7 +17,7 @@ from riskloom.llm.personal_data import digest, find_personal_data
 from riskloom.llm.subwords import FIT_ROWS, Classifier, fit_classifier
 from riskloom.llm.syncmers import fingerprint, fingerprint_edits, likeness
 from riskloom.llm.toxicity import Lexicon, fit_lexicon, score_toxicity
-from riskloom.sources import read_table
+from riskloom.sources import freeze, read_table
 
 #: Share of expected tokens each language is to have.
 MIX = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
@@ -43,8 +43,10 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def domain_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Classifier:
     """Domains are the languages of the documents that ``labels`` covers."""
-    labels = read_table(spark, sf_dir, "labels")
-    labelled = docs.join(F.broadcast(bounded_ids(labels, "doc_id", FIT_ROWS)), "doc_id", "left_semi")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id")
+    covered = docs.select("doc_id", "lang").join(labels, "doc_id", "left_semi")
+    ids = freeze(bounded_ids_by_label(covered, "doc_id", "lang", FIT_ROWS))
+    labelled = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     return fit_classifier(labelled, "doc_id", "text", "lang")
 
 

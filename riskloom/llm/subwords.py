@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import bounded_ids, map_batches
+from riskloom.llm.common import bounded_ids_by_label, map_batches
 
 BUCKETS, WIDTH, EPOCHS, RATE, SEED = 1 << 13, 16, 6, 0.8, 11
 #: Most labelled rows that a classifier is fitted on.
-FIT_ROWS = 2_000
+FIT_ROWS = 4_000
 _BLOCK = 1 << 20
 
 
@@ -81,6 +81,7 @@ class Classifier:
 
 
 def _train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """``bags`` has the buckets of each text and how often they occur."""
     draw = np.random.default_rng(SEED)
     embed = draw.normal(0, 0.1, (BUCKETS, WIDTH))
     soft, bias = np.zeros((WIDTH, classes)), np.zeros(classes)
@@ -89,7 +90,7 @@ def _train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: in
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         for i in draw.permutation(len(bags)):
-            ids, share = bags[i]
+            ids, share = bags[i][0], bags[i][1] / bags[i][1].sum()
             mean = share @ embed[ids]
             logits = mean @ soft + bias
             p = np.exp(logits - logits.max())
@@ -104,11 +105,12 @@ def _train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: in
 
 
 def fit_classifier(labelled: DataFrame, id: str, text: str, label: str, rows: int = FIT_ROWS, accuracy: float = 0.99) -> Classifier:
-    """Fitted on at most ``rows`` labelled rows, those of the lowest hash of ``id``; null labels and texts
-    without letters are left out. A fifth is held back to fit the temperature and to
+    """Fitted on at most ``rows`` labelled rows, of each label those of the lowest hash of ``id``, with the same
+    room for every label (``bounded_ids_by_label``); null labels and texts without letters are left out.
+    A fifth of each label, none of fewer than five rows, is held back to fit the temperature and to
     find the score above which ``accuracy`` of them are right. Spark makes the subword counts;
     the driver gets one bounded bag for each row of the sample."""
-    ids = bounded_ids(labelled.filter(F.col(label).isNotNull()), id, rows)
+    ids = bounded_ids_by_label(labelled, id, label, rows)
     usable = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
     usable = usable.join(F.broadcast(ids), id, "left_semi").select(
         F.col(id).alias("id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label")
@@ -119,12 +121,12 @@ def fit_classifier(labelled: DataFrame, id: str, text: str, label: str, rows: in
         for t in batch["text"]:
             c = subword_counts(t)
             at = np.flatnonzero(c)
-            ids.append(at.astype(np.int32))
+            ids.append(at.astype(np.int16))
             counts.append(c[at].astype(np.int32))
         return {"id": batch["id"], "label": batch["label"], "ids": ids, "counts": counts}
 
     kind = dict(usable.dtypes)["id"]
-    schema = f"id {kind}, label string, ids array<int>, counts array<int>"
+    schema = f"id {kind}, label string, ids array<smallint>, counts array<int>"
     # Repeated ids could make more rows than ids; these narrow rows are cut to the bound.
     got: pa.Table = map_batches(usable, schema, bag).limit(rows).toArrow()
     rows_ = [
@@ -137,13 +139,15 @@ def fit_classifier(labelled: DataFrame, id: str, text: str, label: str, rows: in
     if not classes:
         return Classifier((), np.zeros((BUCKETS, 0)), np.zeros(0))
     y = np.array([classes.index(r[1]) for r in rows_])
-    bags = [(b, c / c.sum()) for _, _, b, c in rows_]
-    held = np.random.default_rng(SEED).permutation(len(bags))[: len(bags) // 5]
+    bags = [(b, c) for _, _, b, c in rows_]
+    draw = np.random.default_rng(SEED)
+    of_class = [draw.permutation(np.flatnonzero(y == c)) for c in range(len(classes))]
+    held = np.concatenate([rows_of[: len(rows_of) // 5] for rows_of in of_class])
     inside = np.setdiff1d(np.arange(len(bags)), held)
     table, bias = _train([bags[i] for i in inside], y[inside], len(classes))
     if not len(held):
         return Classifier(classes, table, bias)
-    logits = np.array([bags[i][1] @ table[bags[i][0]] + bias for i in held])
+    logits = np.array([bags[i][1] @ table[bags[i][0]] / bags[i][1].sum() + bias for i in held])
 
     def softmax(t):
         e = np.exp((logits - logits.max(axis=1, keepdims=True)) / t)

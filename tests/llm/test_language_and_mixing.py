@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 
 from riskloom.llm import subwords
+from riskloom.llm.common import bounded_ids_by_label
 from riskloom.llm.language import identify_language
 from riskloom.llm.mixing import fit_rates, mix_to_weights, posteriors, rate_of
 from riskloom.llm.queries import MIX, language, mixing
@@ -167,3 +168,26 @@ def test_purest_documents_of_the_dominant_domain_stay(spark):
     # Not much more than the least total.
     have = np.array([[r["tokens"] * x for x in r["posteriors"]] for r in got]).sum(axis=0)
     assert sum(mix.target) < 1.1 * (have / weights).max()
+
+
+def test_rare_labels_are_sampled_held_back_and_learned(spark):
+    """One row in 2,500 has the rare language."""
+    alphabets = {"aa": "abcdefgh", "bb": "ijklmnop", "rare": "qrstuvwx"}
+    draw = np.random.default_rng(3)
+
+    def text(label):
+        return " ".join("".join(draw.choice(list(alphabets[label]), 5)) for _ in range(12))
+
+    labels = ["rare" if i % 2500 == 7 else "aa" if i % 3 else "bb" for i in range(10_000)]
+    df = spark.createDataFrame([(i, text(la), la) for i, la in enumerate(labels)], "doc_id long, text string, lang string")
+    ids = {r["doc_id"] for r in bounded_ids_by_label(df, "doc_id", "lang", subwords.FIT_ROWS).collect()}
+    drawn = Counter(labels[i] for i in ids)
+    assert len(ids) == subwords.FIT_ROWS == 4_000
+    assert drawn["rare"] == 4 and abs(drawn["aa"] - drawn["bb"]) < 300
+    model = fit_classifier(df, "doc_id", "text", "lang")
+    assert model.classes == ("aa", "bb", "rare")
+    new = [(i, text(la), la) for i, la in enumerate(("rare", "aa", "bb") * 20)]
+    fresh = spark.createDataFrame(new, "doc_id long, text string, lang string")
+    got = identify_language(fresh, "text", model, ("lang",)).collect()
+    assert sum(r["lang_pred"] == r["lang"] == "rare" for r in got) >= 18
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"] != "rare")
