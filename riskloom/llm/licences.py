@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each sentence normalised (A-Z lowered, every run of other
-characters than letters and digits one space) and looked up among known licence sentences.
-The identifiers found, in text order, are matched against rules: a rule is an ordered list of
+A text is normalised (A-Z lowered, every run of other characters than letters and digits one space, so that
+line feeds and the signs of comments before a line go) and cut at full stops and empty lines. Known licence
+sentences are found as runs of whole words between two cuts, over as many lines as they take. The SQL
+of ``oracle`` knows whole sentences on one line only, which is what the given tables have. The identifiers found, in text order, are matched against rules: a rule is an ordered list of
 identifiers, which must occur in that order with anything between them.
 """
 
@@ -109,9 +110,13 @@ RULES: tuple[Rule, ...] = (
 )
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at a line end, or at stops followed by white space or the text's end.
-SENTENCE_END = r"\n|[.!?]+(\s+|$)"
-NOT_WORD = r"[^a-z0-9|]+"
+#: No sentence goes on after stops followed by white space or the text's end, or over a line without words.
+SENTENCE_END = r"[.!?]+(\s+|$)|\n[^a-z0-9\n]*(?=\n)"
+#: Comments that start with a word.
+COMMENT_WORD = r"\n[ \t@]*(rem|dnl)(?=[ \t])"
+#: The point of a decimal stays, as ~: version 2.1 is not version 2.
+POINT = r"(?<=[0-9])\.(?=[0-9])"
+NOT_WORD = r"[^a-z0-9~|]+"
 
 
 def _normal(sentence: str) -> str:
@@ -126,13 +131,23 @@ def known_sentences(sentences: dict[str, tuple[str, ...]] = SENTENCES) -> dict[s
     return {_normal(s): name for name, forms in sentences.items() for s in forms}
 
 
+def known_runs(sentences: dict[str, tuple[str, ...]] = SENTENCES) -> dict[str, str]:
+    """As ``known_sentences``, with the points of decimals."""
+    import re
+
+    flat = lambda s: re.sub(NOT_WORD, " ", re.sub(POINT, "~", s.translate(str.maketrans(UPPER, LOWER)))).strip()
+    return {flat(s): name for name, forms in sentences.items() for s in forms}
+
+
 def _sentence_ids(text: Column, known: dict[str, str]) -> Column:
-    lowered = F.translate(text, UPPER + "|", LOWER + " ")
-    flat = F.regexp_replace(F.regexp_replace(lowered, SENTENCE_END, "|"), NOT_WORD, " ")
+    flat = F.translate(text, UPPER + "|~", LOWER + "  ")
+    for pattern, by in ((COMMENT_WORD, "\n"), (SENTENCE_END, "|"), (POINT, "~"), (NOT_WORD, " ")):
+        flat = F.regexp_replace(flat, pattern, by)
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    # An empty try_element_at is null: sentences that are not known fall out.
-    ids = F.transform(F.split(flat, r"\|"), lambda s: F.try_element_at(table, F.trim(s)))
-    return F.filter(ids, lambda i: i.isNotNull())
+    # Of two forms that start together the longer one counts, and once.
+    forms = "|".join(sorted(known, key=len, reverse=True))
+    runs = F.regexp_extract_all(flat, F.lit(f"(?<![a-z0-9~])(?:{forms})(?![a-z0-9~])"), 0)
+    return F.transform(runs, lambda s: F.try_element_at(table, s))
 
 
 def scan_licences(
@@ -145,7 +160,7 @@ def scan_licences(
     in the order of ``rules``). Columns of those names are replaced. Null or empty text: two
     empty arrays. A text of any length is one row; nothing is shuffled.
     """
-    known = known_sentences(sentences)
+    known = known_runs(sentences)
     marked = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
     holds = {r.licence: marked.like("%" + "%".join(f",{s}," for s in r.sentences) + "%") for r in rules}
     named = [

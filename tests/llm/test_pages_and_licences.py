@@ -113,3 +113,34 @@ def test_query_equals_sql(spark):
     assert got == want and any(r[3] for r in got)
     plan = licence_scan(spark, folder)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def wrapped(names, prefix, width=60):
+    import textwrap
+
+    lines = [line for n in names for line in [*textwrap.wrap(licences.SENTENCES[n][-1] + ".", width), ""]]
+    return "\n".join((prefix + line).rstrip() for line in lines)
+
+
+def test_wrapped_and_commented_licences(spark):
+    full = {r.licence: r.sentences for r in licences.RULES if len(r.sentences) > 1}
+    cases = [(la, prefix) for la in full for prefix in ("", "# ", " * ", "// ", "REM ", "    ")]
+    got = scan(spark, ["Header\n" + wrapped(full[la], prefix) for la, prefix in cases])
+    for (la, prefix), (ids, found) in zip(cases, got):
+        assert ids == list(full[la]) and la in found, (la, prefix, ids)
+
+
+def test_runs_of_words_within_lines(spark):
+    apache = [licences.SENTENCES[n][-1] for n in ("apache-notice", "apache-comply", "apache-copy", "apache-as-is")]
+    got = scan(spark, [
+        "; ".join(apache),
+        "Copyright 2020 Someone, all rights\r\nreserved",
+        "Licensed under the GNU General Public License, version 2.1",
+        "Licensed under the GNU General Public License, version 21",
+        "unlicensed under CC BY 4.0",
+        "Released under the\n\nMIT License",
+        "Released under the. MIT License",
+    ])
+    assert got[0][1] == ["Apache-2.0", "Apache-2.0-full"]
+    assert got[1] == (["reserved"], ["all-rights-reserved"])
+    assert got[2:] == [([], [])] * 5
