@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,15 +78,35 @@ def bounded_ids_by_label(df: DataFrame, key: str, label: str, rows: int) -> Data
     return near.orderBy("__place", number, key).limit(rows).select(key).distinct()
 
 
+#: Bytes of text that a task holds as Python objects at a time; a longer text is alone.
+SLICE_BYTES = 4 << 20
+
+
+def sliced(batch: pa.RecordBatch, columns: Iterable[str], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``limit`` bytes of text in ``columns``, one row at least."""
+    size = np.full(batch.num_rows, 16, np.int64)
+    for c in columns:
+        kind = batch.schema.field(c).type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind):
+            size += pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False)
+    # A piece ends where the sum passes a multiple of the limit.
+    ends = np.cumsum(size) // limit
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1), batch.num_rows]
+    for start, end in zip(edges, edges[1:]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def map_batches(
     df: DataFrame,
     schema: str,
     rows: Callable[[dict[str, list]], dict[str, Iterable]],
     keep: Iterable[str] = (),
 ) -> DataFrame:
-    """``rows`` applied to each Arrow batch as a dict of lists, without the columns ``keep``, which
+    """``rows`` applied to pieces of each Arrow batch as a dict of lists, without the columns ``keep``, which
     pass untouched; gives the columns ``keep``, then those of ``schema``. ``df`` has no other
-    columns than these two need."""
+    columns than these two need. Pieces are cut by bytes of text (``SLICE_BYTES``), so the Python objects of a
+    task stay as small however many rows a batch has; each piece is sent on by itself."""
     keep = tuple(keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
     whole = ", ".join([*fields, schema])
@@ -98,8 +119,10 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = rows(batch.select(taken).to_pydict())
-            columns = {**{k: batch.column(k) for k in keep}, **out}
-            yield pa.RecordBatch.from_arrays([as_field(columns[f.name], f) for f in arrow], schema=arrow)
+            for piece in sliced(batch, taken):
+                out = rows(piece.select(taken).to_pydict())
+                columns = {**{k: piece.column(k) for k in keep}, **out}
+                yield pa.RecordBatch.from_arrays([as_field(columns[f.name], f) for f in arrow], schema=arrow)
+                del out, columns
 
     return df.mapInArrow(run, whole)

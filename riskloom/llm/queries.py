@@ -14,6 +14,7 @@ from riskloom.llm.near_duplicates import near_duplicates
 from riskloom.llm.ngrams import fit_ngrams, score_texts
 from riskloom.llm.page_text import extract_pages
 from riskloom.llm.personal_data import digest, find_personal_data
+from riskloom.llm.simhash import simhash_duplicates
 from riskloom.llm.subwords import FIT_ROWS, Classifier, fit_classifier
 from riskloom.llm.syncmers import fingerprint, fingerprint_edits, likeness
 from riskloom.llm.toxicity import Lexicon, fit_lexicon, score_toxicity
@@ -117,6 +118,10 @@ def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "op1_lm_scoring": lm_scoring,
     "op2_personal_data": personal_data,
@@ -128,6 +133,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints,
     "op9_language": language,
     "op10_licences": licence_scan,
+    "op11_simhash": simhash,
 }
 
 ORACLES = {"op10_licences": licences.oracle()}

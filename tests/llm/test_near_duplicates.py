@@ -29,7 +29,7 @@ def classes(nodes, edges):
 
     def root(n):
         while least[n] != n:
-            n = least[n] = least[least[n]]
+            least[n] = n = least[least[n]]
         return n
 
     for a, b in edges:
