@@ -126,3 +126,15 @@ def map_batches(
                 del out, columns
 
     return df.mapInArrow(run, whole)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of the UTF-8 bytes of the expression ``text``."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ 0xEDB88320 * (n & 1)
+        table.append(n)
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substring(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    step = f"xor(c >> 8, CAST({table}[(xor(c, b) & 255) + 1] AS BIGINT))"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import licences
+from riskloom.llm import conversations, licences
 from riskloom.llm.common import bounded_ids_by_label, split_of
 from riskloom.llm.decontamination import contaminated
 from riskloom.llm.language import identify_language
@@ -122,6 +122,12 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(read_table(spark, sf_dir, "conversations"))
+    pieces = conversations.repair_conversations(damaged, "conv_id", "turn", "role", "text", "absent")
+    return conversations.digest_conversations(pieces).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_lm_scoring": lm_scoring,
     "op2_personal_data": personal_data,
@@ -134,6 +140,7 @@ QUERIES = {
     "op9_language": language,
     "op10_licences": licence_scan,
     "op11_simhash": simhash,
+    "op12_conversation_repair": conversation_repair,
 }
 
-ORACLES = {"op10_licences": licences.oracle()}
+ORACLES = {"op10_licences": licences.oracle(), "op12_conversation_repair": conversations.oracle()}
