@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import conversations, licences
+from riskloom.llm import conversations, licences, spelling
 from riskloom.llm.common import bounded_ids_by_label, split_of
 from riskloom.llm.decontamination import contaminated
 from riskloom.llm.language import identify_language
@@ -128,6 +128,11 @@ def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest_conversations(pieces).withColumnRenamed("conv", "conv_id")
 
 
+def spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.word_counts(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return spelling.spelling_variants(found).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_lm_scoring": lm_scoring,
     "op2_personal_data": personal_data,
@@ -141,6 +146,11 @@ QUERIES = {
     "op10_licences": licence_scan,
     "op11_simhash": simhash,
     "op12_conversation_repair": conversation_repair,
+    "op13_spelling": spelling_groups,
 }
 
-ORACLES = {"op10_licences": licences.oracle(), "op12_conversation_repair": conversations.oracle()}
+ORACLES = {
+    "op10_licences": licences.oracle(),
+    "op12_conversation_repair": conversations.oracle(),
+    "op13_spelling": spelling.oracle(),
+}
