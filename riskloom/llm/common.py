@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 #: Odd multipliers of the mixing step; any odd 64-bit constants of high entropy do.
 _MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -97,6 +98,14 @@ def sliced(batch: pa.RecordBatch, columns: Iterable[str], limit: int = SLICE_BYT
             yield batch.slice(start, end - start)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many more underscores in front as make it differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_batches(
     df: DataFrame,
     schema: str,
@@ -108,9 +117,9 @@ def map_batches(
     columns than these two need. Pieces are cut by bytes of text (``SLICE_BYTES``), so the Python objects of a
     task stay as small however many rows a batch has; each piece is sent on by itself."""
     keep = tuple(keep)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
-    whole = ", ".join([*fields, schema])
-    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], whole).schema)
+    kept = [StructField(c, df.schema[c].dataType) for c in keep]
+    whole = StructType([*kept, *StructType.fromDDL(schema)])
+    arrow = to_arrow_schema(whole)
     taken = [c for c in df.columns if c not in keep]
 
     def as_field(value, field: pa.Field) -> pa.Array:

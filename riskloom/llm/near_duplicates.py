@@ -5,23 +5,28 @@ second, pi, circularly shifted by k, gives coordinate k of the signature:
 ``min over s of pi[(sigma(s) + k) mod D]``. The K shifts of one element lie side by side in pi,
 so a signature is the elementwise minimum of K-long windows of one table.
 
-The plan, none of whose steps makes the pairs of a group:
+The plan:
 
 1. Equal sets collapse to the row of the least id, their *representative*.
 2. Representatives meet in buckets, one per band. Each bucket has a pivot, its least id; every
    member is compared with the pivot alone, on full sets. Linked ones form components.
-3. Members of a pivot's buckets that lie in different components may still be linked with each
+3. Further rounds: the members of a pivot that are neither linked with it nor of one component get
+   the least of them as next pivot and are compared with it alone, as long as a round links a tenth
+   of what it compares. So a family that is short of its pivot collapses, in comparisons linear
+   in its size. Components are contracted after each round.
+4. Members of a pivot of step 2 that still lie in different components may be linked with each
    other, unless both are linked with the pivot. ``_crossing`` finds all those that can be from
-   what each has more or less than the pivot, which is little; they are compared on full sets.
-4. The components over all links are the classes.
+   what each has more or less than the pivot; they are compared on full sets. Only this
+   step decides what is left, so nothing rests on the rounds of step 3 but the work.
+5. The components over all links are the classes.
 
-Why 3 finds all: let x and y have a_x, a_y shingles less and b_x, b_y more than the pivot. They are linked at
+Why 4 finds all: let x and y have a_x, a_y shingles less and b_x, b_y more than the pivot. They are linked at
 similarity t only if their sets differ by at most q = (1-t)/(1+t) of both sizes together. They
 differ by a_x + b_x + a_y + b_y less twice what their differences share. So the shingles that
 both have more are at least (f(x) - h(y)) / 2 and at least (f(y) - h(x)) / 2, where
 f = a + b - q * size and h = a - b + q * size. If both numbers are 0 or less, sizes alone do
 not tell, and the pair is compared; else the two share one of the shingles they have more, even after the
-most frequent ones but for that number are left out on one side.
+most frequent ones but for that number are left out on both sides, in one order for all.
 
 A pair at the threshold 0.8 shares no band with probability (1 - 0.8^6)^40 = 5e-6, a more
 similar one still less often.
@@ -37,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import hash_words, map_batches, mix, words_of
+from riskloom.llm.common import fresh, hash_words, map_batches, mix, words_of
 from riskloom.llm.connected import components
 from riskloom.sources import freeze
 
@@ -187,22 +192,56 @@ def _crossing(canopies: DataFrame, percent: int) -> DataFrame:
     )
     by_size = pairs(either.filter("h_y >= f_x and h_x >= f_y"))
 
-    spread = known.select("pivot", "id", "n", "f", "h", "component", F.explode("added").alias("s"))
+    spread = known.select("pivot", "id", "n", "f", "h", "h_max", "far", "component", F.explode("added").alias("s"))
+    # Only shingles that a far member and one of another component have can join a pair.
     common = freeze(
-        spread.groupBy("pivot", "s").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+        spread.groupBy("pivot", "s")
+        .agg(F.count(F.lit(1)).alias("many"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("far").alias("any"))
+        .filter("low < high and any")
+        .select("pivot", "s", "many")
     )
-    # Of the far side's shingles the most frequent ones are left out, one less than must be shared.
+    # Of each side's shingles the most frequent ones are left out, one less than must be shared.
     must = F.greatest(F.lit(1), F.ceil((F.col("f") - F.col("h_max")) / (2 * scale)))
     rare = Window.partitionBy("pivot", "id").orderBy(F.col("many").desc(), "s")
-    of_far = far.select("pivot", "id", "n", "f", "h", "component", must.alias("must"), F.explode("added").alias("s"))
-    of_far = of_far.join(common, ["pivot", "s"]).withColumn("place", F.row_number().over(rare))
-    of_far = of_far.filter("place >= must")
-    meeting = side(of_far, "x", "pivot", "s").join(
-        side(spread.join(common, ["pivot", "s"], "left_semi"), "y", "pivot", "s"), ["pivot", "s"]
-    )
+    spread = spread.join(common, ["pivot", "s"]).withColumn("place", F.row_number().over(rare))
+    spread = freeze(spread.filter(F.col("place") >= must))
+    meeting = side(spread.filter("far"), "x", "pivot", "s").join(side(spread, "y", "pivot", "s"), ["pivot", "s"])
     return by_size.union(pairs(meeting)).distinct()
 
 
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes(node, component)``, which hold every end of ``links(a, b)``, with the links contracted."""
+    end = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    edges = links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b"))
+    to = components(edges).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = classes.join(to, "component", "left")
+    return freeze(moved.select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _further_pivots(far: DataFrame, full: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``classes`` after the rounds of step 3; ``far(canopy, id)`` are the members not linked with their pivot."""
+    rest = far
+    while True:
+        placed = rest.join(classes.withColumnRenamed("node", "id"), "id")
+        lead = placed.groupBy("canopy").agg(
+            F.min("id").alias("next"),
+            F.min_by("component", "id").alias("of_next"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        )
+        lead = lead.filter("low < high").select("canopy", "next", "of_next")
+        rest = freeze(placed.join(lead, "canopy").filter("component <> of_next").select("canopy", "id", "next"))
+        pairs = freeze(rest.select(F.col("next").alias("a"), F.col("id").alias("b")).distinct())
+        linked = freeze(_compared(pairs, full, more=False).filter(_linked(percent)).select("a", "b"))
+        tried, found = pairs.count(), linked.count()
+        if found:
+            classes = _merged(classes, linked)
+        if found * 10 <= tried:
+            return classes
+        met = linked.select(F.col("a").alias("next"), F.col("b").alias("id"))
+        rest = freeze(rest.join(met, ["next", "id"], "left_anti").select("canopy", "id"))
+
+
 def near_duplicates(
     df: DataFrame, id: str, text: str, *,
     words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
@@ -244,7 +283,11 @@ def near_duplicates(
     full = _full_sets(to_pivot, texts, words)
     compared = _compared(to_pivot, full, more=True).withColumn("far", ~_linked(percent))
     links = compared.filter(~F.col("far")).select("a", "b")
-    first = components(links)
+    first = components(links).withColumnRenamed("node", "id")
+    nodes = compared.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(first, "id", "left")
+    classes = freeze(nodes.select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component")))
+    short = freeze(compared.filter("far").select(F.col("a").alias("canopy"), F.col("b").alias("id")))
+    classes = _further_pivots(short, full, classes, percent)
 
     canopies = compared.select(
         F.col("a").alias("pivot"),
@@ -253,11 +296,11 @@ def near_duplicates(
         (F.col("n_a") - F.col("shared")).alias("less"),
         "added",
         "far",
-    ).join(first.withColumnRenamed("node", "id"), "id", "left")
-    canopies = freeze(canopies.withColumn("component", F.coalesce("component", "id")))
+    )
+    canopies = freeze(canopies.join(classes.withColumnRenamed("node", "id"), "id"))
     crossing = freeze(_crossing(canopies, percent))
     more = _compared(crossing, full, more=False).filter(_linked(percent)).select("a", "b")
-    classes = first if more.isEmpty() else components(links.union(more))
+    classes = _merged(classes, freeze(more))
     result = member.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(id),
         "n_shingles",
@@ -272,7 +315,12 @@ def _is(a: Column, b: Column) -> Column:
 
 def drop_near_duplicates(df: DataFrame, id: str, text: str, **how) -> DataFrame:
     """``df`` with one row of each class, that of the least id; ``how`` as for ``near_duplicates``.
-    Rows of a null id all stay."""
-    kept = near_duplicates(df, id, text, **how).filter("kept").select(F.col(id).alias("__kept")).distinct()
-    named = df.join(kept, F.col(id) == F.col("__kept"), "left_semi").dropDuplicates([id])
-    return named.unionByName(df.filter(F.col(id).isNull()))
+    Of rows that share an id the one of the least text stays, and of these the one whose other columns have
+    the least hash. Rows of a null id all stay."""
+    at, row = fresh(df, "__kept"), fresh(df, "__row")
+    kept = near_duplicates(df, id, text, **how).filter("kept").select(F.col(id).alias(at)).distinct()
+    others = F.to_json(F.struct(*[c for c in df.columns if c != text]))
+    order = F.struct(F.coalesce(text, F.lit("")), F.xxhash64(others))
+    named = df.join(kept, F.col(id) == F.col(at), "left_semi")
+    first = named.groupBy(id).agg(F.min_by(F.struct(*df.columns), order).alias(row)).select(f"{row}.*")
+    return first.unionByName(df.filter(F.col(id).isNull()))

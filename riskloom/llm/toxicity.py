@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import bounded_ids, map_batches
+from riskloom.llm.common import bounded_ids, fresh, map_batches
 
 #: Most labelled rows that weights and curve are fitted on.
 FIT_ROWS = 30_000
@@ -43,22 +43,34 @@ _LOOKS = "аaеeоoрpсcхxуyіiјjѕsԁdһhкkмmтtвbнhαaβbεeιiκkνv
 _LOOK_ALIKE = {ord(_LOOKS[i]): _LOOKS[i + 1] for i in range(0, len(_LOOKS), 2)}
 _LOOK_ALIKE |= {0xFF41 + i: chr(97 + i) for i in range(26)} | {0x200B: "", 0x00AD: "", 0x2060: ""}
 _SIGNS = str.maketrans("0134578@$!|", "oieastbasil")
-# A word with a digit or sign among or before its letters.
-_DISGUISED = re.compile(r"[^\W_]*[0134578@$!|]+[^\W\d_][^\W_]*(?:[@$!|][^\W_]+)*")
+_MARKS = "@$!|"
+# A digit or sign before a letter: where a word may be disguised.
+_HIT = re.compile(r"[0134578@$!|][^\W\d_]")
+_TOKEN = re.compile(r"(?:[^\W_]|[@$!|])++")
 _GAP = re.compile(r"[\W_]+")
 
 
-def _undo(match: re.Match) -> str:
-    token = match[0]
-    return token.translate(_SIGNS) if sum(c.isalpha() for c in token) * 3 >= len(token) else token
+def _undisguised(flat: str) -> str:
+    """``flat`` with digits and signs written for letters undone in tokens of letters, digits and signs
+    that have one before a letter, and letters for a third at least. One pass; each token is looked at once."""
+    out, done, at = [], 0, 0
+    while m := _HIT.search(flat, at):
+        start = m.start()
+        while start > at and (flat[start - 1].isalnum() or flat[start - 1] in _MARKS):
+            start -= 1
+        at = _TOKEN.match(flat, m.start()).end()
+        token = flat[start:at].rstrip(_MARKS)
+        if sum(map(str.isalpha, token)) * 3 >= len(token):
+            out += [flat[done:start], token.translate(_SIGNS)]
+            done = start + len(token)
+    return "".join([*out, flat[done:]])
 
 
 def fold(text: str | None) -> str:
     """Words of the folded text, one space before and after each."""
     flat = (text or "").lower()
     flat = flat if flat.isascii() else flat.translate(_LOOK_ALIKE)
-    flat = _DISGUISED.sub(_undo, flat)
-    return f" {_GAP.sub(' ', flat).strip()} "
+    return f" {_GAP.sub(' ', _undisguised(flat)).strip()} "
 
 
 @dataclass(frozen=True)
@@ -91,9 +103,14 @@ def measure(automaton: ahocorasick.Automaton, text: str | None) -> tuple[float,
     hits, safe = [], []
     for end, (length, weight) in automaton.iter(flat):
         (safe if weight is None else hits).append((end - length + 1, end, weight))
-    total = count = 0
+    # One sweep: of the exceptions that start no later than a match, the one that ends last decides.
+    hits.sort()
+    safe.sort(key=lambda s: s[0], reverse=True)
+    total = count = covered = 0
     for start, end, weight in hits:
-        if not any(s <= start and end <= e for s, e, _ in safe):
+        while safe and safe[-1][0] <= start:
+            covered = max(covered, safe.pop()[1])
+        if end > covered:
             total, count = total + weight, count + 1
     words = flat.count(" ") - 1
     return 100.0 * total / (words + 20), float(total), count
@@ -193,15 +210,17 @@ def _built(items: tuple, exceptions: tuple[str, ...]) -> ahocorasick.Automaton:
 
 def score_toxicity(df: DataFrame, text: str, lexicon: Lexicon, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, with ``toxicity`` (0 to 1) and ``toxic_matches`` (long). Null and
-    empty texts are scored as texts without matches. No shuffle; one text at a time."""
+    empty texts are scored as texts without matches; repeated rows are scored each, no rows give none. No
+    shuffle; one text at a time. ``keep`` must not hold the two names added."""
     items, curve = tuple(sorted(lexicon.weights.items())), np.array(lexicon.curve)
     exceptions = lexicon.exceptions
 
     def rows(batch):
         a = _built(items, exceptions)
-        found = np.array([measure(a, t) for t in batch["__text"]], float).reshape(-1, 3)
+        found = np.array([measure(a, t) for t in batch[source_text]], float).reshape(-1, 3)
         p = 1 / (1 + np.exp(-np.clip(_features(found) @ curve, -30, 30)))
         return {"toxicity": p, "toxic_matches": found[:, 2].astype(int)}
 
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source_text = fresh(df, "__text")
+    source = df.select(*keep, F.col(text).alias(source_text))
     return map_batches(source, "toxicity double, toxic_matches long", rows, keep)
