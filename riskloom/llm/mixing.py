@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import map_batches
+from riskloom.llm.common import fresh, map_batches
 from riskloom.llm.subwords import Classifier, subword_counts
 from riskloom.sources import freeze
 
@@ -41,16 +41,17 @@ def posteriors(df: DataFrame, text: str, model: Classifier) -> DataFrame:
     """``df`` with ``tokens`` (runs without ASCII white space) and ``posteriors`` (array, in the order of the classes). A text
     without letters, or null, has those of the model's bias. Columns of these names are replaced."""
     packed = df.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
+    whole = fresh(df, "__text")
 
     def rows(batch):
         m: Classifier = packed.value
         return {
-            "tokens": [len((t or "").encode("utf-8", "surrogatepass").split()) for t in batch["__text"]],
-            "posteriors": [m.probabilities(subword_counts(t)) for t in batch["__text"]],
+            "tokens": [len((t or "").encode("utf-8", "surrogatepass").split()) for t in batch[whole]],
+            "posteriors": [m.probabilities(subword_counts(t)) for t in batch[whole]],
         }
 
     keep = [c for c in df.columns if c not in ("tokens", "posteriors")]
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source = df.select(*keep, F.col(text).alias(whole))
     return map_batches(source, "tokens long, posteriors array<double>", rows, keep)
 
 
@@ -94,8 +95,11 @@ def fit_rates(members: DataFrame, weights: tuple[float, ...], floor: float = 0.0
     if not have.sum():
         return Mixture((), tuple(have), tuple(have))
     real = (have > 1e-9 * have.sum()) & (w > 0)
+    if not real.any():
+        return Mixture((), tuple(have), tuple(have))
     target = w * max((have[real] / w[real]).max(), 0.0)
-    target[~real] = have[~real]
+    # Nothing is added to a domain without a weight; documents at the floor stay in it.
+    target[~real] = np.where(w > 0, 1.0, floor)[~real] * have[~real]
     steps: list[tuple[float, ...]] = []
     every = shared
     while len(steps) < STEPS and (np.abs(have - target) > TOLERANCE * target.sum() / n).any():
@@ -119,17 +123,15 @@ def mix_to_weights(df: DataFrame, id: str, text: str, model: Classifier, weights
     down, up as often as its fraction says, by a hash of the id. Columns of these names are replaced.
     No rate is under 1, so no row has 0 copies.
 
-    ``weights`` gives each class its share; classes without one get 0, and shares are scaled to
-    sum to 1. Rows without words have no say but get the rate of their posteriors; rows of a
+    ``weights`` gives each class its share, scaled to sum to 1; to classes without one nothing is added, and as no
+    row is dropped they keep what they have. Without a class that has a weight all rates are 1. Rows without words have no say but get the rate of their posteriors; rows of a
     null or repeated id are rounded alike. No rows in, no rows out. ``df`` is written once, with its
     posteriors, and read once a step; no row is shuffled."""
     share = np.array([weights.get(c, 0.0) for c in model.classes])
-    if not share.sum() > 0:
-        raise ValueError("no class of the model has a weight")
     members = freeze(posteriors(df, text, model))
-    mixture = fit_rates(members, tuple(share / share.sum()), floor=1.0)
+    steps = fit_rates(members, tuple(share / share.sum()), floor=1.0).steps if share.sum() > 0 else ()
     number = F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit("copies"))
     chance = F.pmod(number, F.lit(1 << 30)) / float(1 << 30)
-    rated = members.withColumn("rate", rate_of(F.col("posteriors"), mixture.steps, floor=1.0))
+    rated = members.withColumn("rate", rate_of(F.col("posteriors"), steps, floor=1.0))
     up = (chance < F.col("rate") - F.floor("rate")).cast("long")
     return rated.withColumn("copies", F.floor("rate") + up)

@@ -145,3 +145,37 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r["node"]: r["component"] for r in got.collect()}
     assert got == {n: c for n, c in classes({x for e in edges for x in e}, edges).items() if n != 7}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_family_short_of_its_pivot_collapses_in_few_comparisons(spark, monkeypatch):
+    """Mutually near texts, all short of the least id: comparisons stay in proportion to their number."""
+    from riskloom.llm import near_duplicates as module
+
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    family = base[:262] + [f"v{i}" for i in range(38)]  # 261 of 337 shingles shared with the first
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        text = list(family)
+        text[draw.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    tried = []
+    plain = module._compared
+
+    def counted(pairs, *a, **k):
+        tried.append(pairs.count())
+        return plain(pairs, *a, **k)
+
+    monkeypatch.setattr(module, "_compared", counted)
+    found = near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text", words=2).collect()
+    got = {r["id"]: r["component_id"] for r in found}
+    assert set(got.values()) <= {0, 1}
+    assert len({got[i] for i in range(1, 400)}) == 1
+    assert sum(tried) <= 4 * len(rows)
+
+
+def test_the_least_text_of_a_repeated_id_stays(spark):
+    rows = [(1, "b c d e f g"), (1, "a c d e f g"), (2, "z y x w v u"), (None, "q"), (None, "q")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    kept = sorted(map(tuple, drop_near_duplicates(df, "id", "text").collect()), key=str)
+    assert kept == [(1, "a c d e f g"), (2, "z y x w v u"), (None, "q"), (None, "q")]

@@ -6,6 +6,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm.decontamination import terms_of
 from riskloom.llm.personal_data import redact_text
@@ -97,7 +98,7 @@ def test_stages_take_odd_rows_and_no_rows(spark):
         out = stage(spark, twice, FOLDER)
         assert out.count() >= 30 - 10, name
         assert out.filter("doc_id is null").count() >= 1, name
-    for name, stage in pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES:
         assert stage(spark, docs.filter("false"), FOLDER).count() == 0, name
 
 
@@ -106,3 +107,16 @@ def test_every_document_stays_in_the_mix(outputs):
     after = outputs["mixing"].collect()
     assert {r["doc_id"] for r in after} == before
     assert min(r["rate"] for r in after) >= 1
+
+
+def test_columns_that_clash_stay(spark):
+    added = {"toxicity": 1, "copy": 2, "matches": 3, "tokens": 4, "__text": 5, "row": 6, "__kept": 7, "__row": 8}
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
+    docs = docs.withColumns({c: F.lit(v) for c, v in added.items()})
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert sorted(out.columns) == sorted(docs.columns), name
+        assert {tuple(r) for r in out.select(*added).distinct().collect()} == {tuple(added.values())}, name
+    mixed = pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert len(set(mixed.columns)) == len(mixed.columns)
+    assert {r["matches"] for r in mixed.collect()} == {3}

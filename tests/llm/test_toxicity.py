@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 
 from riskloom.llm import toxicity as tox
@@ -96,3 +97,17 @@ def test_query_on_held_out_documents(spark):
     wrong = [got[r["doc_id"]]["predicted"] for r in held if r["toxic"] == 0]
     assert sum(caught) >= 0.85 * len(caught)
     assert sum(wrong) <= 0.01 * len(wrong)
+
+
+def test_long_runs_and_many_exceptions_take_linear_time():
+    lexicon = tox.Lexicon({"trash": 1.0})
+    automaton = tox._automaton(lexicon.weights, lexicon.exceptions)
+    for text in ("1" * 10**6, "1" * 500_000 + "!9a", "9!" * 500_000 + "1a", "trash can " * 100_000, "$" * 10**6):
+        start = time.perf_counter()
+        tox.measure(automaton, text)
+        assert time.perf_counter() - start < 5, text[:20]
+    assert tox.measure(automaton, "trash can trash " * 50)[2] == 50
+
+
+def test_disguises_are_undone_once():
+    assert tox.fold("1d10t, $tup1d! 2024 a1 B0B 4ever") == " idiot stupid 2024 a1 bob aever "
