@@ -19,10 +19,15 @@ from riskloom.llm.toxicity import score_toxicity
 from riskloom.sources import freeze, read_table
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id, text and the whole row, so that no further column can clash with what an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon = toxicity_lexicon(spark, sf_dir, docs)
-    scored = score_toxicity(docs, "text", lexicon, tuple(docs.columns))
-    return scored.filter(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+    scored = score_toxicity(_packed(docs), "text", lexicon, ("row",))
+    return scored.filter(F.col("toxicity") < TOXIC_FROM).select("row.*")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +36,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = read_table(spark, sf_dir, "benchmark")
-    found = with_matches(docs, "text", items, "item_id", item_text="text")
-    return found.filter(F.size("matches") == 0).select(*docs.columns)
+    found = with_matches(_packed(docs), "text", items, "item_id", item_text="text")
+    return found.filter(F.size("matches") == 0).select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +46,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix_to_weights(docs, "doc_id", "text", domain_model(spark, sf_dir, docs), MIX)
+    """Columns of ``docs`` named as one that this stage adds are replaced."""
+    mixed = mix_to_weights(_packed(docs), "doc_id", "text", domain_model(spark, sf_dir, docs), MIX)
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("tokens", "rate", "copy")]
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    return mixed.filter("copies > 0").select(*docs.columns, "tokens", "rate", copies)
+    return mixed.filter("copies > 0").select(*others, "tokens", "rate", copies)
 
 
 STAGES = [
