@@ -166,12 +166,18 @@ def pairs_in(points: list[str], queries: list[str]) -> list[tuple[int, int]]:
     x, q = x[:, used], q[:, used]
     px, qx = _codes(points, length), _codes(queries, short)
     tree = grow(x, np.arange(len(points)), LEAF_WORDS)
+    # Between whole numbers whose sums differ by one or not at all, an L1 distance of at most 1 or 2 is a squared
+    # distance of at most 1 or 2, which products of matrices give; exact in floats while squares of lengths are.
+    kind = np.float32 if length < 2048 else np.float64
+    x, fq = x.astype(kind), q.astype(kind)
+    x_square, q_square = (x * x).sum(axis=1), (fq * fq).sum(axis=1)
     out: list[tuple[int, int]] = []
     for at, rows in reach(tree, q, 1, length == short):
+        leaf, leaf_square = x[at].T, x_square[at]
         step = max(1, _PAIRS // len(at))
         for i in range(0, len(rows), step):
             some = rows[i : i + step]
-            apart = np.abs(x[at][None].astype(np.int16) - q[some][:, None]).sum(axis=2) <= 1 + (length == short)
+            apart = q_square[some][:, None] + leaf_square - 2 * (fq[some] @ leaf) <= 1 + (length == short)
             of, to = np.nonzero(apart)
             a, b = some[of], at[to]
             near = one_edit(qx[a], px[b])
