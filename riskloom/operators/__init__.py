@@ -27,6 +27,7 @@ from riskloom.operators.features import (
     recency_gap,
     trailing_features,
 )
+from riskloom.operators.intervals import interval_join
 from riskloom.operators.model import (
     fit_predict_gbt,
     fit_predict_logistic,
@@ -63,6 +64,7 @@ __all__ = [
     "group_rare",
     "hash_split",
     "impute_median",
+    "interval_join",
     "json_attribute",
     "ks",
     "last_event_asof",

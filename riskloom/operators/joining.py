@@ -27,7 +27,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
     named = frequent_items(hashed, "h", share)
     if not named:
         return []
-    counts = hashed.groupBy(F.when(F.col("h").isin(named), F.col("h")).alias("h")).count()
+    # As a table: at a small share they may be too many for an expression.
+    names = df.sparkSession.createDataFrame([(named,)], "h array<bigint>")
+    names = names.select(F.explode("h").alias("h"), F.lit(True).alias("named"))
+    met = hashed.join(F.broadcast(names), "h", "left")
+    counts = met.groupBy(F.when(F.col("named"), F.col("h")).alias("h")).count()
     found = {row["h"]: row["count"] for row in counts.collect()}
     total = sum(found.values())
     return sorted(h for h, n in found.items() if h is not None and n > share * total)

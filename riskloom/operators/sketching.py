@@ -43,16 +43,19 @@ def frequent_items(df: DataFrame, column: str, share: float) -> list[int]:
     """Every value of a bigint column that more than ``share`` of the rows have, and others.
 
     With 8 / share items tracked, counts are off by less than half of ``share``; fewer than
-    3 / share values can then seem frequent enough.
+    3 / share values can then seem frequent enough. Those named have half of it at least.
     """
-    tracked, named = int(8 / share), int(3 / share)
+    tracked, named = round(8 / share), round(3 / share)
     sketches = _by_task(df).agg(
-        F.call_function("approx_top_k_accumulate", F.col(column), F.lit(tracked)).alias("_sketch")
+        F.call_function("approx_top_k_accumulate", F.col(column), F.lit(tracked)).alias("_sketch"),
+        F.count(F.lit(1)).alias("_n"),
     )
     # Combining no sketches at all is an error, so no group is made of no rows.
     merged = sketches.groupBy(F.lit("all")).agg(
-        F.call_function("approx_top_k_combine", F.col("_sketch"), F.lit(tracked)).alias("_sketch")
+        F.call_function("approx_top_k_combine", F.col("_sketch"), F.lit(tracked)).alias("_sketch"),
+        F.sum("_n").alias("_n"),
     )
     items = F.call_function("approx_top_k_estimate", F.col("_sketch"), F.lit(named))
-    row = merged.select(items).first()
-    return [found["item"] for found in row[0]] if row else []
+    likely = F.filter(items, lambda i: i["count"] >= F.col("_n") * F.lit(share / 2))
+    row = merged.select(F.transform(likely, lambda i: i["item"])).first()
+    return list(row[0]) if row else []

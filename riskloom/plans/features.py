@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import (
@@ -9,13 +10,15 @@ from riskloom.operators import (
     cross_feature,
     entity_features,
     group_rank,
+    interval_join,
     json_attribute,
     last_event_asof,
     recency_gap,
     trailing_features,
 )
 from riskloom.plans.plan import Plan
-from riskloom.sources import read_table
+from riskloom.sources import read_stream, read_table
+from riskloom.streaming import run_available, trailing_stream
 
 
 def _orders(spark, folder, *columns):
@@ -41,7 +44,58 @@ def _gaps(spark, folder):
     return gaps.withColumn("gap_days", F.col("gap_days").cast("double"))
 
 
+def _clicks_in_views(spark, folder):
+    """Each click with the view that was the user's latest: valid from its moment to the next view's."""
+    events = read_table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    views = events.filter("event_type = 'view'")
+    until = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    valid = views.select(
+        "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("valid_from"),
+        until.alias("valid_to"), F.col("value").alias("rate"),
+    )
+    clicks = events.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    met = interval_join(clicks, valid, "ts", "valid_from", "valid_to", ["user_id"], id="event_id")
+    # A null integer reads differently in pandas and DuckDB; a null double does not.
+    return met.select("event_id", "user_id", F.col("view_id").cast("double").alias("view_id"), "rate")
+
+
+def _streamed(spark, folder):
+    events = read_stream(spark, folder, "events")
+    near = run_available(trailing_stream(events, "user_id", "ts", "value", 7, 2, scale=2)).df
+    return near.withColumn("as_of", F.col("as_of").cast("string"))
+
+
 PLANS = {
+    "interval_join": Plan(
+        _clicks_in_views,
+        """
+        WITH views AS (
+            SELECT user_id, event_id AS view_id, ts AS valid_from, value AS rate,
+                   lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to
+            FROM events WHERE event_type = 'view'
+        )
+        SELECT c.event_id, c.user_id, CAST(v.view_id AS DOUBLE) AS view_id, v.rate
+        FROM events c
+        LEFT JOIN views v
+          ON v.user_id = c.user_id AND c.ts >= v.valid_from AND (c.ts < v.valid_to OR v.valid_to IS NULL)
+        WHERE c.event_type = 'click'
+        """,
+    ),
+    "trailing_stream": Plan(
+        _streamed,
+        """
+        WITH daily AS (
+            SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, sum(CAST(value AS DECIMAL(18, 2))) AS total
+            FROM events GROUP BY ALL
+        ),
+        near AS (SELECT user_id, day + CAST(i AS INTEGER) AS as_of, n, total FROM daily, range(1, 8) AS d(i))
+        SELECT user_id, CAST(as_of AS VARCHAR) AS as_of, CAST(sum(n) AS BIGINT) AS trailing_count,
+               CAST(sum(total) AS DOUBLE) AS trailing_sum
+        FROM near
+        WHERE as_of <= (SELECT max(day) - 2 FROM daily)
+        GROUP BY ALL
+        """,
+    ),
     "entity_features": Plan(
         customer_history,
         """

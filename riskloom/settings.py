@@ -11,6 +11,8 @@ setting                                   default    meaning
 
 ``hotShare`` follows ``spark.sql.shuffle.partitions``: a key is hot when it outweighs an
 average shuffle partition, or a hundredth of the rows where partitions are fewer than that.
+It is never under ``LEAST_HOT_SHARE``, since a sketch tracks a million items at most: with more
+than 125,000 partitions a key may then outweigh an average one before it counts as hot.
 A global order gets a bucket per partition, and more where ``ROWS_PER_BUCKET`` ask for them.
 """
 
@@ -31,9 +33,13 @@ def broadcast_bytes(spark: SparkSession) -> int:
 ROWS_PER_BUCKET = 1_000_000
 
 
+# The least share for which ``sketching.frequent_items`` may track enough items.
+LEAST_HOT_SHARE = 8e-6
+
+
 def hot_share(spark: SparkSession) -> float:
     fallback = 1 / max(shuffle_partitions(spark), 100)
-    return float(spark.conf.get("spark.riskloom.hotShare", str(fallback)))
+    return max(LEAST_HOT_SHARE, float(spark.conf.get("spark.riskloom.hotShare", str(fallback))))
 
 
 def buckets(spark: SparkSession, rows: int = 0) -> int:

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,20 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def new_path(spark: SparkSession) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/riskloom-{uuid.uuid4().hex}"
+# Paths given out inside each open ``scratch``, innermost last. A thread sees only its own.
+_kept: ContextVar[tuple[list[str], ...]] = ContextVar("riskloom_kept", default=())
 
 
-_kept: list[list[str]] = []
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet, deleted at the end of the ``scratch`` around it."""
+    path = f"{shared_dir(spark)}/riskloom-{uuid.uuid4().hex}"
+    if _kept.get():
+        _kept.get()[-1].append(path)
+    return path
 
 
 def freeze(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back from there, with ``by`` in a folder for
     each value of that column."""
     path = new_path(df.sparkSession)
-    if _kept:
-        _kept[-1].append(path)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -65,11 +68,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         with scratch(spark):
             rank_blend(df, scores, weights, "id").write.parquet(path)
     """
-    _kept.append([])
+    paths: list[str] = []
+    outer = _kept.set((*_kept.get(), paths))
     try:
         yield
     finally:
-        for path in _kept.pop():
+        _kept.reset(outer)
+        for path in paths:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

@@ -13,6 +13,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The parquet table ``name`` of ``folder`` as a stream of its files."""
+    schema = read_table(spark, folder, name).schema
+    # As a pattern, since a stream takes a plain path for a folder; a table may be one file.
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{name}[.]parquet")
+
+
 def write_predictions(
     df: DataFrame, path: str, id: str, score: str, format: str = "parquet"
 ) -> None:

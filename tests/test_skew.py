@@ -29,7 +29,7 @@ from riskloom.operators import (
     target_encode_oof,
     trailing_features,
 )
-from riskloom.operators.joining import hot_keys
+from riskloom.operators.joining import hot_keys, key_hash
 from riskloom.operators.ordering import exact_quantiles, positions, value_counts_in_order
 
 HOT = "hot"
@@ -300,3 +300,11 @@ def test_sketches_over_many_tasks(spark, monkeypatch):
     assert 7 in sketching.frequent_items(df, "h", 0.01)
     assert sketching.approximate_quantiles(df.filter("x < 0"), "x", probs, 400) == []
     assert sketching.frequent_items(df.filter("x < 0"), "h", 0.01) == []
+
+
+def test_hot_keys_of_very_many_partitions(spark, setting):
+    # As at 200,000 shuffle partitions: more items than a sketch may track.
+    setting("spark.riskloom.hotShare", 5e-6)
+    facts = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    hashed = facts.filter("k = -1").select(key_hash(["k"]).alias("h"))
+    assert hot_keys(facts, ["k"]) == [hashed.first()["h"]]
