@@ -45,4 +45,18 @@ PAGES = (
     """<body><article><p>+ A lone paragraph of a page that has nothing else to say and nobody to say it to, either.</p></article>""",
     """<body><main><p>+ Yes.</p><p>+ No.</p></main>""",
     """<body><div class="ad">- One sentence of an advert.</div><article><p>+ Two.</p></article>""",
+    """<body><div><a href=1>- Start</a> <a href=2>- Places</a></div><div class="overflow-hidden"><h1>+ A walk by the canal</h1>
+    <p>+ The canal was dug two hundred years ago to bring coal to the town, and is now used by anglers and by ducks alone.</p>
+    <p>+ It froze last in the winter of the year in which my sister was born.</p></div></body>""",
+    """<div><div>+ On paper</div><div>+ Paper was made of rags until the rags ran out, and then of wood, of which there was more at that time.</div>
+    <div>+ Old books last longer than new ones for this reason.</div><div>+ Keep them dry.</div></div>""",
+    """<p>+ A page may start without a title, as this one does, and come to the point at once in its first sentence.</p>
+    <p>+ It may end without a footer too.</p>""",
+    """<div><a href=1>- Home</a><a href=2>- Shop</a><a href=3>- Help</a></div><p>+ The shop on the corner has been closed since the owner moved to
+    the coast, where the rents are lower and the winters are milder.</p><p>+ Nobody has taken it over so far, it seems.</p>""",
+    """<div><p>+ The first train left at five and was always full of people from the mills, who slept until they had to change.</p>
+    <p>+ The second was empty.</p><p>+ There never was a third one, whatever the old timetable in the waiting room may have said.</p></div>
+    <div><a href=1>- Next story</a></div>""",
+    """<p>+ We ate early.</p><p>+ The soup was thin that day, and the bread was old, but there was more than enough of both for all of us.</p>
+    <p>+ Then we slept.</p>""",
 )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import map_batches
+from riskloom.llm.common import fresh, map_batches
 from riskloom.llm.page_table import PAGES
 
 # Tags by what they do.
@@ -37,12 +38,22 @@ NAMES = frozenset(
     "search copyright legal disclaimer outbrain taboola teaser".split()
 )
 
+# What comes beside a frame's name in a class or id, as in site-footer or ad-slot.
+PLACES = frozenset(
+    "area article bar block body bottom box button col column container content entry form group head header inner item items "
+    "left link links list main nav page panel post right row section site slot space text title top unit wrap wrapper zone".split()
+)
+
+# A tag ends at the next > outside of quotes that follow an equals sign, or with the page. Nothing is tried twice,
+# so many tags without an end are one.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*\Z",
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)|</?\Z",
     re.S,
 )
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*+(?:display\s*+:\s*+none|visibility\s*+:\s*+hidden)", re.I)
 
 
 @dataclass
@@ -54,21 +65,40 @@ class Block:
     frame: bool
 
 
+def _named(value: str) -> bool:
+    """Whether one of the names is that of a frame: by itself, or with nothing but words for places beside it."""
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not NAMES.isdisjoint(words) and all(w in NAMES or w in PLACES for w in words):
+            return True
+    return False
+
+
 def _framed(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in FRAMES or (tag == "header" and not inside) or (attributes and _HIDDEN.search(attributes)):
+    if tag in FRAMES or (tag == "header" and not inside):
+        return True
+    if not attributes or tag in ("html", "body"):
+        return False
+    has: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        has.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if has.get("hidden", "false").lower() != "false" or has.get("aria-hidden", "").lower() == "true":
+        return True
+    if _NO_DISPLAY.search(has.get("style", "")):
         return True
-    names = [w for m in _NAME.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())]
-    return tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(names)
+    return tag not in ("article", "main") and any(_named(has.get(k, "")) for k in ("class", "id", "role"))
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """Text blocks in page order; none is empty. Unclosed tags, cut tags and cut pages are taken
-    as far as they go."""
+    as far as they go. Time grows with the page's length, whatever is in it."""
     page, out = page or "", []
     parts: list[str] = []
     state = {"linked": 0, "link": 0}
     # Open block tags with (tag, inside an article, inside a frame).
     open_: list[tuple[str, bool, bool]] = [("", False, False)]
+    depth: Counter = Counter()  # open tags by name
+    unclosed: set[str] = set()  # dropped tags that nothing closes from here on
 
     def put(raw: str) -> None:
         value = html.unescape(raw)
@@ -94,9 +124,10 @@ def blocks_of(page: str | None) -> list[Block]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in DROPPED and not closing:
             if not m[3].endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
                 # A head that is not closed ends where the body starts.
                 if not stop and tag in ("head", "option", "title"):
+                    unclosed.add(tag)
                     continue
                 at = stop.end() if stop else len(page)
             if tag in BLOCKS:
@@ -109,13 +140,15 @@ def blocks_of(page: str | None) -> list[Block]:
             end()
             state["link"] = 0
             if closing:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i][0] == tag:
-                        del open_[i:]
+                while depth[tag]:
+                    last = open_.pop()[0]
+                    depth[last] -= 1
+                    if last == tag:
                         break
             elif tag not in VOID:
                 if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and open_[-1][0] in ("p", tag):
-                    open_.pop()
+                    depth[open_.pop()[0]] -= 1
+                depth[tag] += 1
                 _, article, frame = open_[-1]
                 open_.append((tag, article or tag in ("article", "main"), frame or _framed(tag, m[3], article)))
     put(page[at:])
@@ -202,10 +235,12 @@ def main_text(page: str | None) -> str:
 
 def extract_pages(df: DataFrame, page: str, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep`` with ``text``: main text blocks, one a line. Null and empty pages, and pages
-    without main text, have an empty text. Pages are taken whole; nothing is shuffled."""
-    source = df.select(*keep, F.col(page).alias("__page"))
+    without main text, have an empty text; repeated rows come as often as they are, no rows give none. Pages are taken whole;
+    nothing is shuffled."""
+    at = fresh(df, "__page")
+    source = df.select(*keep, F.col(page).alias(at))
 
     def rows(batch):
-        return {"text": [main_text(p) for p in batch["__page"]]}
+        return {"text": [main_text(p) for p in batch[at]]}
 
     return map_batches(source, "text string", rows, keep)

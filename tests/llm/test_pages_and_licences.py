@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -47,6 +48,31 @@ def test_unlabelled_pages():
     ]
 
 
+def test_names_and_quotes_that_only_look_like_frames():
+    body = "<h1>On rivers</h1><p>The river rose by a metre in the night, and nobody in the village had seen it coming at all.</p><p>So it goes here.</p>"
+    want = "On rivers\nThe river rose by a metre in the night, and nobody in the village had seen it coming at all.\nSo it goes here."
+    for tag in ('<div class="overflow-hidden">', '<div style="overflow:hidden">', '<div data-x="hidden">', "<div title=don't>", "<div>"):
+        assert main_text(f"<body>{tag}{body}</div></body>") == want, tag
+    for name in ("social-history", "share-of-the-market", "menu-of-the-day"):
+        assert main_text(f'<article><div class="{name}">{body}</div></article>') == want
+    for tag in ('<div class="ad-slot">', '<div id=site-footer>', "<div hidden>", '<div style="color:red; display : none">', '<p aria-hidden="true">'):
+        assert "Buy" not in main_text(f"<article>{body}{tag}Buy one, get two, as long as there are any of them left in the shop.</div></article>"), tag
+
+
+def test_last_paragraph_without_article_and_footer():
+    first = "Flour, water and salt are all that it takes to bake a loaf of bread, if you have a day to wait for it."
+    last = "My mother baked hers in the oven of the village, where every family had its hour, and its own sign on the loaf."
+    assert main_text(f"<body><div><a href=1>Home</a></div><div><p>{first}</p><p>{last}</p></div></body>") == f"{first}\n{last}"
+
+
+def test_pages_of_a_megabyte_are_quick():
+    million = 1 << 20
+    for piece in ("<a ", "<p", "<p x='", '<p x="', "<title>", "<div>", "</div>", "<div></p>", "<!--", "<!", "</", "<p class=a ", "&", "<p a= ", "<option><x"):
+        start = time.perf_counter()
+        main_text(piece * (million // len(piece)))
+        assert time.perf_counter() - start < 6, piece
+
+
 def test_pages_with_odd_rows(spark):
     rows = [(1, None, "t"), (2, "", "t"), (2, "", "t"), (3, "<article><p>Hello there</p></article>", "t")]
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
