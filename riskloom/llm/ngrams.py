@@ -33,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import hash_words, mix, words_of
-from riskloom.sources.shared import shared_dir
+from riskloom.sources.shared import new_path
 
 ORDER = 2
 #: Bytes of training text for each shard, and of text that a task counts or scores at a time.
 SHARD_BYTES, CHUNK_CHARS = 24 << 20, 8 << 20
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\x00start", b"\x00end"))
 _U64 = np.dtype(np.uint64)
+_LIST = "files.npz"
 
 
 def token_hashes(text: str | None) -> np.ndarray:
@@ -249,11 +250,12 @@ def mounted(uri: str) -> str:
 
 def fit_ngrams(df: DataFrame, text: str, order: int = ORDER) -> NgramModel:
     """Counts the n-grams up to ``order`` (2 or more) of whole texts; null counts as empty, which is one
-    end. To the driver come six numbers for each order and shard of words. Without rows the model knows no word."""
+    end. To the driver come six numbers for each order and shard of words, and the names of the files, which it lists in one
+    more. The folder is deleted by the ``scratch`` around the call, else it stays. Without rows the model knows no word."""
     if order < 2:
         raise ValueError("order must be 2 or more")
     spark = df.sparkSession
-    folder = f"{mounted(shared_dir(spark))}/riskloom-ngrams-{uuid.uuid4().hex}"
+    folder = mounted(new_path(spark))
     size = df.agg(F.sum(F.octet_length(text)).alias("s")).first()["s"] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     flow = df.select(F.col(text).alias("text")).mapInArrow(_count(order, shards), _SCHEMA)
@@ -264,6 +266,7 @@ def fit_ngrams(df: DataFrame, text: str, order: int = ORDER) -> NgramModel:
     for r in flow.collect():
         key = r["kind"], r["level"]
         stats[key] = stats.get(key, 0) + _loaded(bytes(r["blob"]))["stats"]
+    _list_files(folder, shards)
     words = stats.get(("word", 1), np.zeros(7, np.int64))
     low = _discounts(words)
     more = int(words[5] - words[0] - words[1])
@@ -275,10 +278,32 @@ def fit_ngrams(df: DataFrame, text: str, order: int = ORDER) -> NgramModel:
     )
 
 
+def _list_files(folder: str, shards: int) -> None:
+    """Writes down which files the model has, a bit for each kind and shard, so that a lost one is not taken for one
+    that never was."""
+    present: dict[str, np.ndarray] = {}
+    os.makedirs(folder, exist_ok=True)
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            if "." not in entry.name:
+                kind, shard = entry.name.rsplit("-", 1)
+                present.setdefault(kind, np.zeros(shards, bool))[int(shard)] = True
+    np.savez(f"{folder}/{_LIST}", **{kind: np.packbits(bits) for kind, bits in present.items()})
+
+
+@lru_cache(maxsize=16)
+def _listed(folder: str) -> dict[str, np.ndarray]:
+    with np.load(f"{folder}/{_LIST}") as kinds:
+        return {kind: np.unpackbits(kinds[kind]).astype(bool) for kind in kinds.files}
+
+
 @lru_cache(maxsize=4096)
 def _mapped(path: str, values: int) -> tuple[np.ndarray, ...] | None:
-    """Keys and columns of values of a file: the width of a value, the keys, the columns."""
-    if not os.path.exists(path):
+    """Keys and columns of values of a file: the width of a value, the keys, the columns. None where the model has no such
+    file; an error where it has lost it."""
+    kind, shard = os.path.basename(path).rsplit("-", 1)
+    listed = _listed(os.path.dirname(path))
+    if kind not in listed or not listed[kind][int(shard)]:
         return None
     width = int(np.fromfile(path, _U64, 1)[0])
     n = (os.path.getsize(path) - 8) // (8 + width * values)
@@ -331,7 +356,8 @@ def token_scores(model: NgramModel, tokens: list[np.ndarray]) -> tuple[np.ndarra
 
 def score_texts(df: DataFrame, text: str, model: NgramModel, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep``, with ``n_tokens``, ``n_known``, ``base_score`` (smoothed unigram), ``score``
-    (log10 probability) and ``perplexity``. Whole texts; null and empty ones are one end."""
+    (log10 probability) and ``perplexity``. Whole texts; null and empty ones are one end. Repeated rows are scored alike, no
+    rows give none. A file of the model that is gone is an error."""
     source = df.select(*keep, F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     schema = f"{fields}, n_tokens long, n_known long, base_score double, score double, perplexity double"

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from riskloom.llm import ngrams
-from riskloom.llm.ngrams import fit_ngrams, mounted, score_texts
+from riskloom.llm.ngrams import fit_ngrams, mounted, score_texts, token_hashes, token_scores
 from riskloom.llm.queries import lm_scoring
+from riskloom.sources.shared import scratch
 
 
 def tokens(text):
@@ -121,3 +123,18 @@ def test_query_holds_out_and_beats_its_base(spark):
     assert all(r["held_out"] == held[r["doc_id"]] and r["train_tokens"] == train for r in got)
     out = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_a_lost_file_is_an_error_and_scratch_deletes(spark):
+    df = spark.createDataFrame([(1, "one two three one two"), (2, "two three")], "id long, text string")
+    with scratch(spark):
+        model = fit_ngrams(df, "text")
+        assert score_texts(df, "text", model, ("id",)).count() == 2
+        words = [token_hashes("one two")]
+        assert np.isfinite(token_scores(model, words)[0]).all()
+        ngrams._mapped.cache_clear()
+        os.rename(f"{model.folder}/word-1-0", f"{model.folder}/word-1-0.gone")
+        with pytest.raises(FileNotFoundError):
+            token_scores(model, words)
+        os.rename(f"{model.folder}/word-1-0.gone", f"{model.folder}/word-1-0")
+    assert not os.path.exists(model.folder)
