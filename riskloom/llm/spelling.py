@@ -48,15 +48,15 @@ def runs(text: str | None, least: int = LEAST_LENGTH) -> list[str]:
 
 def words_in(id, text: str | None, every: int = TYPO_EVERY, least: int = LEAST_LENGTH) -> Counter:
     """Runs of a document and how often they occur; some with a letter dropped, as the crc32 of ``id:run`` says."""
-    found = Counter(runs(text, least))
+    found: Counter = Counter()
     start = zlib.crc32(f"{'' if id is None else id}:".encode())
-    for run in list(found):
+    # What is left of a run may be another run of the document, whose own crc32 says nothing about it.
+    for run, n in Counter(runs(text, least)).items():
         number = zlib.crc32(run.encode(), start)
-        if number % every == 0:
-            at = number % len(run)
-            n, word = found.pop(run), run[:at] + run[at + 1 :]
-            if len(word) >= least:
-                found[word] += n
+        at = number % len(run)
+        word = run[:at] + run[at + 1 :] if number % every == 0 else run
+        if len(word) >= least:
+            found[word] += n
     return found
 
 

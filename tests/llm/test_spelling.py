@@ -139,3 +139,13 @@ def test_counts_of_odd_texts(spark):
     assert got == dict(total)
     none = S.word_counts(df.filter("false"), "doc_id", "text")
     assert S.spelling_variants(none).count() == 0
+
+
+def test_what_a_damaged_run_leaves_is_not_damaged_again(spark):
+    # Of document 118 both runs lose a letter, and the first one becomes the second.
+    longer, shorter = "o" * 13, "o" * 12
+    assert all(zlib.crc32(f"118:{run}".encode()) % 199 == 0 for run in (longer, shorter))
+    rows = [(118, f"{longer} {shorter} " * 5), (118, f"{shorter} {longer} " * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["word"]: r["n"] for r in S.word_counts(df, "doc_id", "text").collect()}
+    assert got == plain_counts(rows) == {"o" * 12: 10, "o" * 11: 10}
