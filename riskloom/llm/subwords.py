@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import bounded_ids_by_label, map_batches
+from riskloom.sources import freeze
 
 BUCKETS, WIDTH, EPOCHS, RATE, SEED = 1 << 13, 16, 6, 0.8, 11
 #: Most labelled rows that a classifier is fitted on.
@@ -127,8 +128,10 @@ def fit_classifier(labelled: DataFrame, id: str, text: str, label: str, rows: in
 
     kind = dict(usable.dtypes)["id"]
     schema = f"id {kind}, label string, ids array<smallint>, counts array<int>"
-    # Repeated ids could make more rows than ids; these narrow rows are cut to the bound.
-    got: pa.Table = map_batches(usable, schema, bag).limit(rows).toArrow()
+    # Repeated ids could make more rows than ids; only then these narrow rows are cut to the bound. A limit gathers them in
+    # one task, whose result the driver would hold several times; without one they arrive by partitions.
+    bags_ = freeze(map_batches(usable, schema, bag))
+    got: pa.Table = (bags_.limit(rows) if bags_.count() > rows else bags_).toArrow()
     rows_ = [
         (str(i), la, b.values.to_numpy(), c.values.to_numpy())
         for i, la, b, c in zip(got["id"].to_pylist(), got["label"].to_pylist(), got["ids"], got["counts"])

@@ -183,9 +183,9 @@ def fit_lexicon(
         .agg(side(1, 0).alias("p0"), side(1, 1).alias("p1"), side(0, 0).alias("n0"), side(0, 1).alias("n1"))
         .withColumns({"p": F.col("p0") + F.col("p1"), "n": F.col("n0") + F.col("n1")})
         .filter((F.col("p") >= MIN_DOCUMENTS) & (F.col("p") > F.col("n")))
-        .orderBy("word")
         .collect()
     )
+    counts.sort(key=lambda r: r["word"])
     sizes = sample.groupBy("y", "half").agg(F.count("*").alias("n")).collect()
     total = {(r["y"], r["half"]): r["n"] for r in sizes}
     n = lambda y, *h: sum(total.get((y, x), 0) for x in h)

@@ -191,3 +191,17 @@ def test_rare_labels_are_sampled_held_back_and_learned(spark):
     got = identify_language(fresh, "text", model, ("lang",)).collect()
     assert sum(r["lang_pred"] == r["lang"] == "rare" for r in got) >= 18
     assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"] != "rare")
+
+
+def test_bags_reach_the_driver_by_partitions(spark, monkeypatch):
+    from riskloom.llm.subwords import fit_classifier
+
+    rows = [(i, f"{'der die das' if i % 2 else 'the a of'} w{i}", "de" if i % 2 else "en") for i in range(40)]
+    plans = []
+    kind = type(spark.range(0))
+    monkeypatch.setattr(kind, "toArrow", lambda df, f=kind.toArrow: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), f(df))[1])
+    fitted = fit_classifier(spark.createDataFrame(rows, "id long, text string, lang string"), "id", "text", "lang", rows=60)
+    assert fitted.classes == ("de", "en") and "Limit" not in plans.pop()
+    # Repeated ids, of which there are more rows than wanted, are cut to the bound.
+    fit_classifier(spark.createDataFrame(rows * 3, "id long, text string, lang string"), "id", "text", "lang", rows=59)
+    assert "Limit" in plans.pop()

@@ -179,3 +179,19 @@ def test_the_least_text_of_a_repeated_id_stays(spark):
     df = spark.createDataFrame(rows, "id long, text string").repartition(4)
     kept = sorted(map(tuple, drop_near_duplicates(df, "id", "text").collect()), key=str)
     assert kept == [(1, "a c d e f g"), (2, "z y x w v u"), (None, "q"), (None, "q")]
+
+
+def test_stars_take_two_rounds(spark, monkeypatch):
+    from riskloom.llm import connected
+
+    frozen = []
+    monkeypatch.setattr(connected, "freeze", lambda df, kept=connected.freeze: (frozen.append(1), kept(df))[1])
+    # Stars around least nodes, a leaf of each with the first star's node as well: what pivots of buckets give.
+    edges = [(100 * k, 100 * k + i) for k in range(8) for i in range(1, 100)] + [(0, 100 * k + 1) for k in range(1, 8)]
+    got = components(spark.createDataFrame(edges, "a long, b long"))
+    assert {tuple(r) for r in got.collect()} == {(n, 0) for n in range(800)}
+    # The edges, two tables a round, and three at the end.
+    assert len(frozen) <= 1 + 2 * 2 + 3
+    frozen.clear()
+    star = components(spark.createDataFrame([(0, i) for i in range(1, 500)], "a long, b long"))
+    assert star.filter("component = 0").count() == 500 and len(frozen) == 1 + 2 + 3
